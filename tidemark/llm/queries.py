@@ -1,9 +1,13 @@
 """The registered queries of this subpackage and, where SQL can express them, their oracles."""
 
 from tidemark.llm.quality_rules import op4_quality_rules
+from tidemark.llm.sharding import op8_sharding
+from tidemark.llm.url_filters import op1_url_filters
 
 QUERIES = {
+    "op1_url_filters": op1_url_filters,
     "op4_quality_rules": op4_quality_rules,
+    "op8_sharding": op8_sharding,
 }
 
 ORACLE_SQL: dict[str, str] = {}
