@@ -1,6 +1,7 @@
 """The registered queries of this subpackage and, where SQL can express them, their oracles."""
 
 from tidemark.llm.quality_rules import op4_quality_rules
+from tidemark.llm.sentencepiece_bpe import op9_sentencepiece
 from tidemark.llm.sharding import op8_sharding
 from tidemark.llm.url_filters import op1_url_filters
 
@@ -8,6 +9,7 @@ QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op4_quality_rules": op4_quality_rules,
     "op8_sharding": op8_sharding,
+    "op9_sentencepiece": op9_sentencepiece,
 }
 
 ORACLE_SQL: dict[str, str] = {}
