@@ -1,5 +1,7 @@
 """The registered queries of this subpackage and, where SQL can express them, their oracles."""
 
+from tidemark.llm.html_extraction import op10_html_extraction
+from tidemark.llm.license_scan import op3_license_scan, op3_sql
 from tidemark.llm.quality_rules import op4_quality_rules
 from tidemark.llm.sentencepiece_bpe import op9_sentencepiece
 from tidemark.llm.sharding import op8_sharding
@@ -7,9 +9,11 @@ from tidemark.llm.url_filters import op1_url_filters
 
 QUERIES = {
     "op1_url_filters": op1_url_filters,
+    "op3_license_scan": op3_license_scan,
     "op4_quality_rules": op4_quality_rules,
     "op8_sharding": op8_sharding,
     "op9_sentencepiece": op9_sentencepiece,
+    "op10_html_extraction": op10_html_extraction,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_license_scan": op3_sql()}
