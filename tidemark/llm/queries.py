@@ -1,5 +1,6 @@
 """The registered queries of this subpackage and, where SQL can express them, their oracles."""
 
+from tidemark.llm.decontamination import op6_benchmark_decontamination
 from tidemark.llm.html_extraction import op10_html_extraction
 from tidemark.llm.license_scan import op3_license_scan, op3_sql
 from tidemark.llm.quality_rules import op4_quality_rules
@@ -11,6 +12,7 @@ QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op3_license_scan": op3_license_scan,
     "op4_quality_rules": op4_quality_rules,
+    "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op8_sharding": op8_sharding,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_html_extraction": op10_html_extraction,

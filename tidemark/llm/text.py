@@ -24,6 +24,8 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _SHINGLE = _rng.integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Punctuation also ends a token: tokens are ASCII letters and digits and bytes from 0x80.
+NOT_ALNUM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _powers: dict[str, np.ndarray] = {}
@@ -92,9 +94,9 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """The words of a batch: start, end, index of the text, first word of each text."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, delimiters: np.ndarray = _SPACE):
         n = len(data)
-        space = _SPACE[data]
+        space = delimiters[data]
         edge = np.zeros(n + 1, bool)
         edge[offsets] = True
         inside = ~space
