@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -69,3 +70,8 @@ class Scratch:
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
             path.getFileSystem(conf).delete(path, True)
+
+    def release(self) -> None:
+        """Let Spark clean the shuffle files of finished steps: it does so when the driver collects garbage."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
