@@ -2,6 +2,7 @@
 
 from tidemark.llm.decontamination import op6_benchmark_decontamination
 from tidemark.llm.html_extraction import op10_html_extraction
+from tidemark.llm.jaccard_join import OP2_SQL, op2_ngram_jaccard_join
 from tidemark.llm.license_scan import op3_license_scan, op3_sql
 from tidemark.llm.quality_rules import op4_quality_rules
 from tidemark.llm.sentencepiece_bpe import op9_sentencepiece
@@ -10,6 +11,7 @@ from tidemark.llm.url_filters import op1_url_filters
 
 QUERIES = {
     "op1_url_filters": op1_url_filters,
+    "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_license_scan": op3_license_scan,
     "op4_quality_rules": op4_quality_rules,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
@@ -18,4 +20,4 @@ QUERIES = {
     "op10_html_extraction": op10_html_extraction,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_license_scan": op3_sql()}
+ORACLE_SQL: dict[str, str] = {"op2_ngram_jaccard_join": OP2_SQL, "op3_license_scan": op3_sql()}
