@@ -7,6 +7,7 @@ from tidemark.llm.license_scan import op3_license_scan, op3_sql
 from tidemark.llm.quality_rules import op4_quality_rules
 from tidemark.llm.sentencepiece_bpe import op9_sentencepiece
 from tidemark.llm.sharding import op8_sharding
+from tidemark.llm.toxicity import op5_toxicity
 from tidemark.llm.url_filters import op1_url_filters
 
 QUERIES = {
@@ -14,6 +15,7 @@ QUERIES = {
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_license_scan": op3_license_scan,
     "op4_quality_rules": op4_quality_rules,
+    "op5_toxicity": op5_toxicity,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op8_sharding": op8_sharding,
     "op9_sentencepiece": op9_sentencepiece,
