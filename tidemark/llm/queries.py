@@ -7,6 +7,7 @@ from tidemark.llm.license_scan import op3_license_scan, op3_sql
 from tidemark.llm.quality_rules import op4_quality_rules
 from tidemark.llm.sentencepiece_bpe import op9_sentencepiece
 from tidemark.llm.sharding import op8_sharding
+from tidemark.llm.suffix_dedup import op7_suffix_array_dedup
 from tidemark.llm.toxicity import op5_toxicity
 from tidemark.llm.url_filters import op1_url_filters
 
@@ -17,6 +18,7 @@ QUERIES = {
     "op4_quality_rules": op4_quality_rules,
     "op5_toxicity": op5_toxicity,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
+    "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op8_sharding": op8_sharding,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_html_extraction": op10_html_extraction,
