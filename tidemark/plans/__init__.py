@@ -1 +1 @@
-
+"""Reports over artifacts and the registered queries."""

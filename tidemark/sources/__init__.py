@@ -1 +1 @@
-
+"""Sources and sinks of the engine."""
