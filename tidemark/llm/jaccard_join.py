@@ -19,9 +19,14 @@ prefix extends until the tokens beyond k - 1 of each group, and the rare ones, a
 s + 1. Then a common signature of every linked pair is certain. The number of groups
 follows the size level of a document (levels differ by the factor 100 / threshold, so
 partners are at most one level apart, and each document indexes its own and the next).
-
-Verification. Equal sets are one node from the start. Per signature, all members are
-verified with the least one (a star, not all pairs). Signatures whose members are not
+Two documents without a common rare token share frequent ones only, so the number of
+those bounds the size of a partner under a combination; it goes with each combination,
+and documents that share one long passage but little else are no candidates.
+
+Verification. Equal sets are one node from the start. Pairs are first held against
+the sets' parity bits, which bound how far two sets differ from below; only pairs that
+may link are verified by their whole texts. Per signature, all members are
+verified with one pivot (a star, not all pairs). Signatures whose members are not
 in one class then are searched further: members outside the signature's largest class
 against all of other classes. So no link between classes is lost, and pairs within a
 class are not spelled out.
@@ -59,8 +64,9 @@ FLUSH_TOKENS = 4_000_000
 _MIXER = np.random.Generator(np.random.PCG64(99)).integers(0, 1 << 63, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 COUNT_SCHEMA = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("block", T.BinaryType())])
-SIGNATURE_SCHEMA = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("part", T.IntegerType()), T.StructField("sig", T.LongType()), T.StructField("doc", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("digest", T.BinaryType()), T.StructField("block", T.BinaryType())])
+SIGNATURE_SCHEMA = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("part", T.IntegerType()), T.StructField("sig", T.LongType()), T.StructField("doc", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("most", T.IntegerType()), T.StructField("digest", T.BinaryType()), T.StructField("bits", T.BinaryType()), T.StructField("block", T.BinaryType())])
 SET, SINGLE, COMBINATION = 0, 1, 2
+ANY_SIZE = 2**31 - 1
 
 
 def pack(array: np.ndarray) -> bytes:
@@ -86,6 +92,11 @@ def slack(n: int, threshold: int) -> int:
     return n - -(-threshold * n // 100)
 
 
+def largest_partner(n: int, frequent: int, threshold: int) -> int:
+    """The largest set that can link to one of n tokens by `frequent` common ones alone."""
+    return frequent * (100 + threshold) // threshold - n
+
+
 def combination_signatures(rare: int, frequent: np.ndarray, classes: np.ndarray, n: int, threshold: int, starts: np.ndarray) -> np.ndarray:
     """Signatures of the frequent part of a document's prefix; rare is its number of rare tokens.
 
@@ -96,7 +107,7 @@ def combination_signatures(rare: int, frequent: np.ndarray, classes: np.ndarray,
     """
     need, out = slack(n, threshold) + 1 - rare, []
     own = int(np.searchsorted(starts, n, "right")) - 1
-    for level in (own, own + 1):
+    for level in (own, own + 1) if largest_partner(n, len(frequent), threshold) >= starts[own + 1] else (own,):
         group, ks = np.zeros(len(frequent), np.uint64), classes if starts[level] >= LEAST_LEVEL else np.ones(len(classes), np.int64)
         for k, size in GROUP.items():
             groups = max(1, round(starts[level] * (100 - threshold) / 100 / size))
@@ -122,6 +133,48 @@ def combination_signatures(rare: int, frequent: np.ndarray, classes: np.ndarray,
     return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
 
 
+def parity_bits(tokens: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    """Per set a bit string of a power of two of at least twice its size (64 to 65,536 bits).
+
+    Every token flips one bit, so two sets differ in at least as many tokens as their
+    strings differ in bits. A longer string folds to a shorter one by xor of its halves.
+    """
+    n = np.diff(bounds)
+    size = np.clip(1 << np.ceil(np.log2(np.maximum(2 * n, 1))).astype(np.int64), 64, 65536)
+    start = np.cumsum(size) - size
+    owner = np.repeat(np.arange(len(n)), n)
+    place = start[owner] + ((tokens >> np.uint64(12)) % size[owner].astype(np.uint64)).astype(np.int64)
+    raw = np.packbits(np.bincount(place, minlength=int(size.sum())) & 1, bitorder="little").tobytes() if len(n) else b""
+    return [raw[a // 8 : (a + b) // 8] for a, b in zip(start.tolist(), size.tolist(), strict=True)]
+
+
+def bits_apart(a: bytes, b: bytes) -> int:
+    """Bits in which two such strings differ, the longer one folded."""
+    if len(a) < len(b):
+        a, b = b, a
+    x = int.from_bytes(a, "little")
+    for half in range(len(a).bit_length() - len(b).bit_length()):
+        width = 8 * len(a) >> (half + 1)
+        x = (x >> width) ^ (x & ((1 << width) - 1))
+    return (x ^ int.from_bytes(b, "little")).bit_count()
+
+
+def plausible(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """The pairs (a, b) that their bit strings allow to link; no linked pair is lost."""
+    known = sets.select("doc", "n", "bits")
+    one = pairs.join(known.withColumnsRenamed({"doc": "b", "n": "n_b", "bits": "bits_b"}), "b")
+    both = one.join(known.withColumnsRenamed({"doc": "a", "n": "n_a", "bits": "bits_a"}), "a").select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total = batch.column(2).to_numpy().astype(np.int64) + batch.column(3).to_numpy()
+            apart = np.array([bits_apart(x, y) for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)], np.int64)
+            ok = pa.array(apart * (100 + threshold) <= (100 - threshold) * total)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["a", "b"])
+
+    return both.mapInArrow(run, "a long, b long").distinct()
+
+
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
     """(ids, tokens, bounds) of parts of the batches."""
     for batch in batches:
@@ -137,7 +190,7 @@ def _ranges(values: np.ndarray, parts: int) -> np.ndarray:
     return np.searchsorted((values >> np.uint64(32)).astype(np.uint64) * np.uint64(parts) >> np.uint64(32), np.arange(parts + 1))
 
 
-def frequent_tokens(source: DataFrame, k: int, parts: int, scratch: Scratch) -> dict[int, np.ndarray]:
+def frequent_tokens(source: DataFrame, k: int, parts: int, scratch: Scratch, frequent: int = FREQUENT) -> dict[int, np.ndarray]:
     """The frequent classes: sorted upper halves of the hashes, exact counts over all documents.
 
     At most MAX_FREQUENT come to the driver: those in a share of 1 / MAX_FREQUENT of all
@@ -165,13 +218,13 @@ def frequent_tokens(source: DataFrame, k: int, parts: int, scratch: Scratch) ->
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
         values, n = np.unique(np.concatenate([np.cumsum(unpack(b), dtype=np.uint32) for b in pdf["block"]]), return_counts=True)
-        often = n >= FREQUENT
+        often = n >= frequent
         # The first row holds the number of all tokens.
         return pd.DataFrame({"token": np.concatenate([[-1], values[often].astype(np.int64)]), "n": np.concatenate([[n.sum()], n[often]]).astype(np.int64)})
 
     counted = scratch.table(source.mapInArrow(blocks, COUNT_SCHEMA).groupBy("part").applyInPandas(count, "token long, n long"), "frequent")
     total = counted.where("token < 0").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    least = max(FREQUENT, -(-total // MAX_FREQUENT))
+    least = max(frequent, -(-total // MAX_FREQUENT))
     rows = counted.where((F.col("token") >= 0) & (F.col("n") >= least)).toPandas()
     very = rows["n"] >= least * VERY_FREQUENT
     return {2: np.sort(rows["token"][~very].to_numpy().astype(np.uint32)), 3: np.sort(rows["token"][very].to_numpy().astype(np.uint32))}
@@ -195,7 +248,7 @@ def signatures(source: DataFrame, k: int, threshold: int, classes: dict[int, np.
 
         def rows(kind: int, total: int, **columns: object) -> pa.RecordBatch:
             arrays = [pa.array([kind] * total, pa.int32())]
-            for name, kind_ in (("part", pa.int32()), ("sig", pa.int64()), ("doc", pa.int64()), ("n", pa.int32()), ("digest", pa.binary()), ("block", pa.binary())):
+            for name, kind_ in (("part", pa.int32()), ("sig", pa.int64()), ("doc", pa.int64()), ("n", pa.int32()), ("most", pa.int32()), ("digest", pa.binary()), ("bits", pa.binary()), ("block", pa.binary())):
                 arrays.append(pa.array(columns[name], kind_) if name in columns else pa.nulls(total, kind_))
             return pa.RecordBatch.from_arrays(arrays, names=SIGNATURE_SCHEMA.names)
 
@@ -211,12 +264,13 @@ def signatures(source: DataFrame, k: int, threshold: int, classes: dict[int, np.
 
         for raw_ids, tokens, bounds in _sets(batches, k):
             digests = [hashlib.blake2b(tokens[a:b].tobytes(), digest_size=16).digest() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-            yield rows(SET, len(raw_ids), doc=raw_ids, n=np.diff(bounds).astype(np.int32), digest=digests)
+            yield rows(SET, len(raw_ids), doc=raw_ids, n=np.diff(bounds).astype(np.int32), digest=digests, bits=parity_bits(tokens, bounds))
             valid, ids = raw_ids.is_valid().to_numpy(zero_copy_only=False), raw_ids.fill_null(0).to_numpy(zero_copy_only=False)
             half = (tokens >> np.uint64(32)).astype(np.uint32)
             kind = 1 + _in(frequent[2], half).astype(np.int8) + 2 * _in(frequent[3], half).astype(np.int8)
             combined: list[np.ndarray] = []
             owners: list[int] = []
+            reach: list[int] = []
             seen: dict[bytes, int] = {}
             for i in np.argsort(ids, kind="stable").tolist():
                 n = int(bounds[i + 1] - bounds[i])
@@ -233,9 +287,10 @@ def signatures(source: DataFrame, k: int, threshold: int, classes: dict[int, np.
                     order = np.argsort(own_kind, kind="stable")[len(rare) :]
                     combined.append(combination_signatures(len(rare), own[order], own_kind[order].astype(np.int64), n, threshold, starts))
                     owners.append(i)
+                    reach.append(largest_partner(n, len(order), threshold))
             if combined and sum(map(len, combined)):
                 count = [len(c) for c in combined]
-                yield rows(COMBINATION, sum(count), sig=np.concatenate(combined).view(np.int64), doc=np.repeat(ids[owners], count), n=np.repeat(np.diff(bounds)[owners], count).astype(np.int32))
+                yield rows(COMBINATION, sum(count), sig=np.concatenate(combined).view(np.int64), doc=np.repeat(ids[owners], count), n=np.repeat(np.diff(bounds)[owners], count).astype(np.int32), most=np.repeat(np.array(reach, np.int32), count))
             if size >= FLUSH_TOKENS // 4:
                 yield flush()
                 singles, size = [], 0
@@ -294,11 +349,11 @@ def verified(pairs: DataFrame, source: DataFrame, k: int, threshold: int) -> Dat
 
 
 def _fitting(threshold: int) -> object:
-    """Partners' sizes are within the threshold of one another."""
-    return 100 * F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b")
+    """Partners' sizes are within the threshold of one another, and of what their signature allows."""
+    return (100 * F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b")) & (F.col("n_a") <= F.col("most_b")) & (F.col("n_b") <= F.col("most_a"))
 
 
-def jaccard_components(documents: DataFrame, text: str = "text", id_col: str = "doc_id", k: int = 5, threshold: int = 75) -> DataFrame:
+def jaccard_components(documents: DataFrame, text: str = "text", id_col: str = "doc_id", k: int = 5, threshold: int = 75, frequent: int = FREQUENT) -> DataFrame:
     """One row per row of documents: id_col, n_shingles and component_id.
 
     component_id is the smallest id reachable by links, itself included. Null and empty
@@ -316,43 +371,52 @@ def jaccard_components(documents: DataFrame, text: str = "text", id_col: str = "
     source = documents.select(documents[id_col].cast("long").alias("__id"), documents[text].alias("__text"))
     parts = min(1 << 16, max(16, 2 * source.rdd.getNumPartitions()))
 
-    classes = frequent_tokens(source, k, parts, scratch)
+    classes = frequent_tokens(source, k, parts, scratch, frequent)
     scratch.release()
     rows = scratch.table(signatures(source, k, threshold, classes, parts), "signatures")
-    sets = scratch.table(rows.where(F.col("kind") == SET).select("doc", "n", "digest"), "sets")
+    sets = scratch.table(rows.where(F.col("kind") == SET).select("doc", "n", "digest", "bits"), "sets")
     linkable = sets.where("n > 0 AND doc IS NOT NULL")
     least = linkable.groupBy("digest").agg(F.min("doc").alias("rep"), F.count("*").alias("rows")).where("rows > 1").select("digest", "rep")
     equal = scratch.table(linkable.join(least, "digest", "left").select("doc", F.coalesce("rep", "doc").alias("rep")).distinct(), "equal")
     copies = equal.where("doc <> rep").select(F.col("rep").alias("u"), F.col("doc").alias("v"))
 
     singles = rows.where(F.col("kind") == SINGLE).select("part", "block").groupBy("part").applyInPandas(_shared_singles, "sig long, doc long, n int")
-    every = singles.unionByName(rows.where(F.col("kind") == COMBINATION).select("sig", "doc", "n"))
+    every = singles.withColumn("most", F.lit(ANY_SIZE)).unionByName(rows.where(F.col("kind") == COMBINATION).select("sig", "doc", "n", "most"))
     # Equal sets have equal signatures: their least id stands for all. An id drops out
     # if that holds for all of its rows.
     stood_for = equal.groupBy("doc").agg(F.bool_or(F.col("doc") == F.col("rep")).alias("stays")).where("NOT stays").select("doc")
     every = every.join(stood_for, "doc", "left_anti")
     postings = scratch.table(every, "postings")
-    pivots = postings.groupBy("sig").agg(F.min(F.struct("doc", "n")).alias("pivot"), F.max("doc").alias("top")).where("pivot.doc <> top").select("sig", "pivot")
-    shared = scratch.table(postings.join(pivots, "sig").select("sig", "doc", "n", F.col("pivot.doc").alias("pivot"), F.col("pivot.n").alias("pivot_n")), "shared")
+    # The pivot is a set that may have partners of its own size or more, the one with the
+    # largest reach: of a group of near copies, that with most of the common tokens. Sets
+    # that reach less than the smallest such set have no partner under this signature.
+    able = F.col("most") >= F.col("n")
+    pivots = postings.groupBy("sig").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.min(F.when(able, F.col("n"))).alias("least"), F.min(F.when(able, F.struct((-F.col("most")).alias("order"), "n", "doc", "most"))).alias("pivot")).where("low <> high AND pivot IS NOT NULL").select("sig", "least", "pivot")
+    shared = scratch.table(postings.join(pivots, "sig").where("most >= least").select("sig", "doc", "n", "most", "pivot"), "shared")
     scratch.drop("signatures", "postings")
     scratch.release()
 
-    star = shared.where("doc <> pivot").select(F.col("pivot").alias("a"), F.col("doc").alias("b"), F.col("pivot_n").alias("n_a"), F.col("n").alias("n_b")).where(_fitting(threshold)).select("a", "b").distinct()
+    star = shared.where("doc <> pivot.doc").select(F.col("pivot.doc").alias("p"), F.col("doc").alias("d"), F.col("pivot.n").alias("n_a"), F.col("n").alias("n_b"), F.col("pivot.most").alias("most_a"), F.col("most").alias("most_b")).where(_fitting(threshold)).select(F.least("p", "d").alias("a"), F.greatest("p", "d").alias("b")).distinct()
     star = scratch.table(star, "star")
-    links = scratch.table(verified(star, source, k, threshold), "links-1")
+    likely = scratch.table(plausible(star, sets, threshold), "likely-1")
+    links = scratch.table(verified(likely, source, k, threshold), "links-1")
     scratch.release()
     classes_1 = scratch.table(connected_components(links, scratch, "round-1"), "classes-1")
 
     # Signatures with members of several classes: those outside the largest class against all.
-    member = shared.select("sig", "doc", "n").join(classes_1.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    member = shared.select("sig", "doc", "n", "most").join(classes_1.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     size = member.groupBy("sig", "component").agg(F.count("*").alias("members"))
     main = size.groupBy("sig").agg(F.max_by("component", F.struct("members", "component")).alias("main"), F.count("*").alias("several")).where("several > 1").select("sig", "main")
     open_ = scratch.table(member.join(main, "sig"), "open")
-    outer = open_.where("component <> main").select("sig", F.col("doc").alias("x"), F.col("n").alias("n_a"), F.col("component").alias("x_class"))
-    inner = open_.select("sig", F.col("doc").alias("y"), F.col("n").alias("n_b"), F.col("component").alias("y_class"))
+    outer = open_.where("component <> main").select("sig", F.col("doc").alias("x"), F.col("n").alias("n_a"), F.col("most").alias("most_a"), F.col("component").alias("x_class"))
+    inner = open_.select("sig", F.col("doc").alias("y"), F.col("n").alias("n_b"), F.col("most").alias("most_b"), F.col("component").alias("y_class"))
     crossed = outer.join(inner, "sig").where((F.col("x_class") != F.col("y_class")) & _fitting(threshold)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     crossed = scratch.table(crossed.join(star, ["a", "b"], "left_anti"), "crossed")
-    more = scratch.table(verified(crossed, source, k, threshold), "links-2")
+    likely = scratch.table(plausible(crossed, sets, threshold), "likely-2")
+    scratch.drop("shared", "open", "star", "crossed", "likely-1")
+    scratch.release()
+    more = scratch.table(verified(likely, source, k, threshold), "links-2")
+    scratch.release()
     final = connected_components(links.unionByName(more).unionByName(copies), scratch, "round-2").withColumnRenamed("node", "doc")
     found = sets.where("doc IS NOT NULL").join(final, "doc", "left").select("doc", "n", F.coalesce("component", "doc").alias("component"))
     nulls = sets.where("doc IS NULL").select("doc", "n", F.col("doc").alias("component"))
