@@ -7,6 +7,7 @@ import decimal
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Tolerance of coverage comparisons: parity from 1 - EPSILON, exceeding over 1 + EPSILON.
 EPSILON = 1e-4
@@ -44,7 +45,7 @@ def rounded(c: Column, digits: int = 2) -> Column:
     return F.round(c, digits)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _fixed(values: pd.Series, digits: pd.Series) -> pd.Series:
     out = []
     for v, d in zip(values, digits, strict=True):

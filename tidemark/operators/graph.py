@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import ship_package
+
 
 def valid_edges(edges: DataFrame, nodes: DataFrame, index: str = "node") -> DataFrame:
     """Edges without self-loops whose ends are both nodes."""
@@ -121,6 +123,7 @@ def layout(nodes: DataFrame, edges: DataFrame, seed: str, graph: str | None = No
     nodes has node (0-based index) and id, edges s and t; graph names a column of both
     that tells several graphs apart.
     """
+    ship_package(nodes.sparkSession)
     key = graph or "__graph"
     nodes = nodes if graph else nodes.withColumn(key, F.lit(0))
     edges = edges if graph else edges.withColumn(key, F.lit(0))

@@ -1,4 +1,561 @@
-"""Registered engine queries and their SQL oracles."""
+"""Registered engine queries over the driver's tables, each with an equal SQL statement.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+Every query applies the engine's operators to whole tables. Sums of doubles go through
+decimals, so that they do not depend on the order of rows.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tidemark.functions import numbers as N
+from tidemark.functions import strings as S
+from tidemark.functions.collections import first_entry, flags, json_map, sum_values, union_sorted
+from tidemark.operators import classify, coverage, evidence, explore, graph, joins, paired, scan
+from tidemark.plans.reports import ratio_ends, token_figures
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+class Tables:
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.dir = spark, sf_dir
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+
+
+def money(c: Column) -> Column:
+    return c.cast("decimal(18,4)")
+
+
+# Paired measurements: returned lines (subject) and kept lines (rival) of an order.
+
+_PAIRS_SQL = """
+pairs AS (
+  SELECT n_name, r_name, l_orderkey,
+    CAST(sum(CASE WHEN l_returnflag = 'R' THEN CAST(l_quantity AS DECIMAL(18,4)) END) AS DOUBLE) AS subject_tokens,
+    CAST(sum(CASE WHEN l_returnflag = 'N' THEN CAST(l_quantity AS DECIMAL(18,4)) END) AS DOUBLE) AS rival_tokens,
+    CAST(sum(CASE WHEN l_returnflag = 'R' THEN CAST(l_extendedprice AS DECIMAL(18,4)) END) AS DOUBLE) AS subject_ms,
+    CAST(sum(CASE WHEN l_returnflag = 'N' THEN CAST(l_extendedprice AS DECIMAL(18,4)) END) AS DOUBLE) AS rival_ms
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
+  JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+  GROUP BY n_name, r_name, l_orderkey),
+marked AS (SELECT *, subject_tokens IS NULL AS subject_missing, rival_tokens IS NULL AS rival_missing,
+  coalesce(subject_tokens > 0 AND rival_tokens > 0 AND subject_ms > 0 AND rival_ms > 0, false) AS ok FROM pairs),
+summary AS (
+  SELECT n_name, r_name, count(*) AS n_rows, count(*) FILTER (ok) AS comparable_rows,
+    count(*) FILTER (subject_missing) AS subject_missing_rows, count(*) FILTER (rival_missing) AS rival_missing_rows,
+    CAST(coalesce(sum(CAST(subject_tokens AS DECIMAL(18,4))) FILTER (ok), 0) AS DOUBLE) AS subject_tokens,
+    CAST(coalesce(sum(CAST(rival_tokens AS DECIMAL(18,4))) FILTER (ok), 0) AS DOUBLE) AS rival_tokens,
+    CAST(coalesce(sum(CAST(subject_ms AS DECIMAL(18,4))) FILTER (ok), 0) AS DOUBLE) AS subject_ms,
+    CAST(coalesce(sum(CAST(rival_ms AS DECIMAL(18,4))) FILTER (ok), 0) AS DOUBLE) AS rival_ms
+  FROM marked GROUP BY n_name, r_name)
+"""
+
+
+def pairs(t: Tables) -> DataFrame:
+    """One paired row per order, with its customer's nation and region."""
+    lines = t.lineitem.select("l_orderkey", "l_returnflag", "l_quantity", "l_extendedprice")
+    part = lambda c, f: F.sum(F.when(F.col("l_returnflag") == f, money(F.col(c)))).cast("double")
+    per = lines.groupBy("l_orderkey").agg(part("l_quantity", "R").alias("subject_tokens"), part("l_quantity", "N").alias("rival_tokens"), part("l_extendedprice", "R").alias("subject_ms"), part("l_extendedprice", "N").alias("rival_ms"))
+    places = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name")
+    owners = t.orders.select("o_orderkey", "o_custkey").join(t.customer.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).join(places, F.col("c_nationkey") == F.col("n_nationkey"))
+    joined = per.join(owners.select("o_orderkey", "n_name", "r_name"), F.col("l_orderkey") == F.col("o_orderkey")).drop("o_orderkey")
+    return joined.withColumn("subject_missing", F.col("subject_tokens").isNull()).withColumn("rival_missing", F.col("rival_tokens").isNull())
+
+
+_RATIOS = "CASE WHEN subject_tokens > 0 THEN rival_tokens / subject_tokens END AS tr, CASE WHEN subject_ms > 0 THEN rival_ms / subject_ms END AS lr"
+
+
+@query(f"""WITH {_PAIRS_SQL}, r AS (SELECT *, {_RATIOS} FROM summary)
+SELECT n_name, n_rows, comparable_rows, subject_missing_rows, rival_missing_rows, subject_tokens, rival_tokens,
+  round(subject_ms, 3) AS subject_ms, round(rival_ms, 3) AS rival_ms, round(tr, 2) AS token_ratio, round(lr, 2) AS latency_ratio,
+  coalesce(tr >= 1, false) AND coalesce(lr >= 1, false) AS pass_low, coalesce(tr >= 1.05, false) AS token_target, coalesce(lr >= 1.05, false) AS latency_target,
+  coalesce(tr >= 1.05, false) AND coalesce(lr >= 1.05, false) AS pass_target,
+  CASE WHEN tr >= 1.05 THEN 1.0 WHEN tr > 0 THEN round(1.05 / tr, 2) END::DOUBLE AS token_gap, CASE WHEN lr >= 1.05 THEN 1.0 WHEN lr > 0 THEN round(1.05 / lr, 2) END::DOUBLE AS latency_gap
+FROM r""")
+def paired_ratio_summary(spark, sf_dir):
+    """Counts, ratios of sums, flags and gaps per nation, with targets 1 and 1.05."""
+    out = paired.paired_summary(pairs(Tables(spark, sf_dir)), "n_name", target=1.05, low=1.0)
+    return out.withColumnRenamed("rows", "n_rows")
+
+
+@query(f"""WITH {_PAIRS_SQL}, r AS (SELECT *, {_RATIOS} FROM summary)
+SELECT r_name, count(*) AS n_groups, CAST(sum(n_rows) AS BIGINT) AS n_rows, CAST(sum(comparable_rows) AS BIGINT) AS comparable_rows, CAST(sum(rival_missing_rows) AS BIGINT) AS rival_missing_rows,
+  count(*) FILTER (tr >= 1.0) AS token_target_groups, count(*) FILTER (lr >= 1.0) AS latency_target_groups, count(*) FILTER (tr >= 1.0 AND lr >= 1.0) AS pass_target_groups,
+  round(sum(rival_tokens) / sum(subject_tokens), 2) AS token_ratio, round(sum(round(rival_ms, 3)) / sum(round(subject_ms, 3)), 2) AS latency_ratio
+FROM r GROUP BY r_name""")
+def paired_rollup(spark, sf_dir):
+    """A2: a second level, from rounded sums to ratios by region."""
+    first = paired.paired_summary(pairs(Tables(spark, sf_dir)), "n_name", "r_name", target=1.0, low=0.9)
+    return paired.rollup(first, "r_name").withColumnsRenamed({"groups": "n_groups", "rows": "n_rows"})
+
+
+@query(f"""WITH {_PAIRS_SQL}, r AS (SELECT *, {_RATIOS} FROM summary)
+SELECT count(*) FILTER (tr >= 1.0) AS raw_rows, count(*) FILTER (round(tr, 1) >= 1.0) AS rounded_rows, count(*) FILTER (round(tr, 1) >= 1.0 AND tr < 1.0) AS differing_rows FROM r""")
+def rounded_vs_raw_threshold(spark, sf_dir):
+    """A4: flags of the unrounded and of the rounded ratio, side by side."""
+    s = paired.paired_summary(pairs(Tables(spark, sf_dir)), "n_name")
+    raw = N.ratio(F.col("rival_tokens"), F.col("subject_tokens"))
+    rounded = N.rounded(raw, 1)
+    return s.agg(N.count_true(raw >= 1.0).alias("raw_rows"), N.count_true(rounded >= 1.0).alias("rounded_rows"), N.count_true((rounded >= 1.0) & (raw < 1.0)).alias("differing_rows"))
+
+
+@query(f"""WITH {_PAIRS_SQL}
+SELECT count(*) FILTER (ok) AS strict_rows, count(*) FILTER (NOT subject_missing AND NOT rival_missing) AS weak_rows, count(*) FILTER (NOT rival_missing) AS rival_rows FROM marked""")
+def comparable_variants(spark, sf_dir):
+    """the three look-alike predicates."""
+    p = pairs(Tables(spark, sf_dir))
+    return p.agg(N.count_true(paired.comparable()).alias("strict_rows"), N.count_true(paired.comparable(strict=False)).alias("weak_rows"), N.count_true(~paired.missing("rival_missing")).alias("rival_rows"))
+
+
+@query(f"""WITH {_PAIRS_SQL}, r AS (SELECT *, {_RATIOS} FROM summary)
+SELECT n_name, round(1.1 / tr, 2) AS token_gap FROM r WHERE comparable_rows > 0 AND tr < 1.1 AND round(1.1 / tr, 2) > 1 ORDER BY token_gap DESC, n_name LIMIT 12""")
+def top_gaps(spark, sf_dir):
+    """The twelve largest gaps (a report)."""
+    s = paired.paired_summary(pairs(Tables(spark, sf_dir)), "n_name", target=1.1)
+    return paired.top_gaps(s, "token_gap", "n_name").select("n_name", "token_gap")
+
+
+@query("""SELECT p_partkey, p_retailprice / 1000 AS coverage_ratio FROM part WHERE p_retailprice / 1000 <= 1.01 ORDER BY p_retailprice / 1000, p_partkey LIMIT 20""")
+def bottom_near_miss(spark, sf_dir):
+    """The twenty lowest ratios up to 1.01 (a report)."""
+    rows = Tables(spark, sf_dir).part.select("p_partkey", (F.col("p_retailprice") / 1000).alias("coverage_ratio"))
+    return paired.near_misses(rows, "coverage_ratio", "p_partkey")
+
+
+@query("""SELECT count(*) AS n_rows, count(*) FILTER (event_type = 'view') AS views, count(*) FILTER (event_type = 'purchase') AS purchases, count(*) FILTER (event_type = 'error') AS errors,
+  count(*) FILTER (value >= 50) AS high, count(*) FILTER (value < 10) AS low, count(*) FILTER (value >= 50 AND event_type = 'purchase') AS high_purchases FROM events""")
+def conditional_counts(spark, sf_dir):
+    """A3, A10: many counts in one pass."""
+    kind, v = F.col("event_type"), F.col("value")
+    tests = {"views": kind == "view", "purchases": kind == "purchase", "errors": kind == "error", "high": v >= 50, "low": v < 10, "high_purchases": (v >= 50) & (kind == "purchase")}
+    return Tables(spark, sf_dir).events.agg(F.count("*").alias("n_rows"), *[N.count_true(c).alias(n) for n, c in tests.items()])
+
+
+# Coverage, status and classification.
+
+
+@query("""WITH m AS (SELECT p_brand, avg(CAST(p_retailprice AS DECIMAL(18,4)))::DOUBLE AS mean FROM part GROUP BY p_brand),
+r AS (SELECT part.p_brand, p_retailprice / mean AS ratio FROM part JOIN m USING (p_brand))
+SELECT p_brand, count(*) AS n_rows, count(ratio) AS with_ratio, count(*) FILTER (ratio <= 1.01) AS parity_rows, count(*) FILTER (ratio > 1.01) AS exceed_rows, count(*) FILTER (ratio < 0.99) AS below_rows FROM r GROUP BY p_brand""")
+def coverage_bands(spark, sf_dir):
+    """parity (with below), exceeding and below rows by brand, against the brand's mean price."""
+    part = Tables(spark, sf_dir).part
+    mean = part.groupBy("p_brand").agg(F.avg(money(F.col("p_retailprice"))).cast("double").alias("mean"))
+    rows = part.join(mean, "p_brand").withColumn("coverage_ratio", F.col("p_retailprice") / F.col("mean"))
+    return coverage.coverage_counts(rows, "p_brand", epsilon=0.01).withColumnRenamed("rows", "n_rows")
+
+
+@query("""SELECT o_custkey, count(*) AS repo_count, count(*) FILTER (o_orderstatus <> 'P' AND o_totalprice / 100000 >= 0.9999) AS passed_repo_count, round(min(o_totalprice / 100000), 4) AS min_coverage_ratio,
+  count(*) >= 3 AND count(*) FILTER (o_orderstatus <> 'P' AND o_totalprice / 100000 >= 0.9999) >= 3 AS validation_passed,
+  CASE WHEN count(*) >= 3 AND count(*) FILTER (o_orderstatus <> 'P' AND o_totalprice / 100000 >= 0.9999) >= 3 THEN 'passed' ELSE 'partial' END AS validation_status FROM orders GROUP BY o_custkey""")
+def min_ratio_validation(spark, sf_dir):
+    """Orders of a customer as validation rows; at least three must pass."""
+    orders = Tables(spark, sf_dir).orders
+    repo = F.struct((F.col("o_orderstatus") != "P").alias("ok"), (F.col("o_totalprice") / 100000).alias("coverage_ratio"))
+    grouped = orders.groupBy("o_custkey").agg(F.collect_list(repo).alias("repos"))
+    v = F.struct(F.lit(None).cast("int").alias("minimum_repos"), F.lit(None).cast("string").alias("status"), F.col("repos").alias("repos"))
+    cols = coverage.validation_columns(v)
+    out = grouped.withColumns(cols)
+    return out.select("o_custkey", F.col("repo_count").cast("long").alias("repo_count"), F.col("passed_repo_count").cast("long").alias("passed_repo_count"), "min_coverage_ratio", "validation_passed", "validation_status")
+
+
+@query("""SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS first_value, 'k' AS first_key, length(CAST(json_keys(props) AS VARCHAR)) > 2 AS has_keys FROM events WHERE json_extract(props, '$.k') IS NOT NULL""")
+def map_first_key(spark, sf_dir):
+    """The first map entry whose key passes, in document order."""
+    events = Tables(spark, sf_dir).events.withColumn("m", json_map(F.col("props")))
+    found = first_entry(F.col("m"), lambda k: F.startswith(k, F.lit("k")))
+    return events.select("event_id", found["value"].cast("long").alias("first_value"), found["key"].alias("first_key"), (F.size("m") > 0).alias("has_keys")).where("first_key IS NOT NULL")
+
+
+@query("""SELECT user_id, count(*) AS n_rows, CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) AS total FROM events GROUP BY user_id""")
+def map_kind_counts(spark, sf_dir):
+    """Sums over the values of a map."""
+    events = Tables(spark, sf_dir).events.withColumn("m", json_map(F.col("props"), "bigint"))
+    return events.groupBy("user_id").agg(F.count("*").alias("n_rows"), F.sum(sum_values(F.col("m"))).alias("total"))
+
+
+_MARKED_SQL = "SELECT d.doc_id, d.lang, d.source, d.n_chars, l.quality, l.toxic FROM documents d LEFT JOIN (SELECT doc_id, min(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id) l USING (doc_id)"
+
+
+def marked_documents(t: Tables) -> DataFrame:
+    labels = t.labels.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    return t.documents.select("doc_id", "lang", "source", "n_chars").join(labels, "doc_id", "left")
+
+
+@query(f"""WITH m AS ({_MARKED_SQL}) SELECT doc_id, coalesce(CASE WHEN toxic = 1 THEN 'toxic' END, CASE WHEN quality = 0 THEN 'junk' END, CASE WHEN quality = 1 THEN 'good' END, 'unlabelled') AS status FROM m""")
+def coalesce_priority(spark, sf_dir):
+    """The first filled of several sources."""
+    m = marked_documents(Tables(spark, sf_dir))
+    return m.select("doc_id", S.first_filled(F.when(F.col("toxic") == 1, F.lit("toxic")), F.when(F.col("quality") == 0, F.lit("junk")), F.when(F.col("quality") == 1, F.lit("good")), F.lit("unlabelled")).alias("status"))
+
+
+@query(f"""WITH m AS ({_MARKED_SQL}) SELECT doc_id, array_to_string(list_filter([CASE WHEN quality IS NULL THEN 'label_missing' END, CASE WHEN quality = 0 THEN 'low_quality' END, CASE WHEN toxic = 1 THEN 'toxic' END, CASE WHEN n_chars < 500 THEN 'short' END], lambda x: x IS NOT NULL), ',') AS blockers FROM m""")
+def blocker_array(spark, sf_dir):
+    """P5: the codes of all conditions that hold, in order."""
+    m = marked_documents(Tables(spark, sf_dir))
+    codes = flags((F.col("quality").isNull(), "label_missing"), (F.col("quality") == 0, "low_quality"), (F.col("toxic") == 1, "toxic"), (F.col("n_chars") < 500, "short"))
+    return m.select("doc_id", F.array_join(codes, ",").alias("blockers"))
+
+
+@query(f"""WITH m AS ({_MARKED_SQL}) SELECT status, count(*) AS n_rows FROM (SELECT CASE WHEN quality IS NULL THEN 'not-comparable' WHEN toxic = 1 THEN 'detector-only' ELSE 'comparable' END AS status FROM m) GROUP BY status""")
+def ordered_case_status(spark, sf_dir):
+    """Ordered conditions; the absent value is the stronger truth."""
+    m = marked_documents(Tables(spark, sf_dir))
+    return m.groupBy(classify.row_status(F.col("quality"), F.col("toxic") == 1).alias("status")).agg(F.count("*").alias("n_rows"))
+
+
+@query("""WITH r AS (SELECT CASE WHEN p_type LIKE '%TIN%' THEN 'regex-counter' WHEN p_type LIKE '%COPPER%' THEN 'tree-sitter-x' WHEN p_type LIKE '%BRASS%' THEN 'jdtls' WHEN p_type LIKE '%STEEL%' THEN 'project' ELSE 'bash-n' END AS tool, CASE WHEN p_size % 10 = 0 THEN 'json' WHEN p_size % 10 = 1 THEN 'ejs' ELSE 'go' END AS language, p_size % 7 = 0 AS detector, p_size % 3 <> 0 AS validated, p_size / 5.0 AS ratio FROM part),
+c AS (SELECT *, CASE WHEN language = 'json' THEN 'structured-format' WHEN detector THEN 'detector-only-proxy' WHEN tool = 'regex-counter' THEN 'source-counter-proxy' WHEN tool = 'project' THEN 'scope-proxy' WHEN tool = 'tree-sitter-x' THEN 'tree-sitter-baseline' WHEN tool = 'jdtls' THEN 'compiler-or-lsp-baseline' ELSE 'syntax-checker-proxy' END AS tool_class FROM r)
+SELECT tool_class, CASE WHEN language = 'json' THEN 'structured' WHEN detector OR language = 'ejs' THEN 'high' WHEN tool IN ('regex-counter', 'project', 'bash-n') THEN 'medium' WHEN NOT validated THEN 'medium' WHEN ratio > 5 THEN 'medium' ELSE 'low' END AS risk,
+  CASE WHEN language = 'json' THEN 'structured' WHEN detector THEN 'high' WHEN tool_class IN ('source-counter-proxy', 'scope-proxy', 'syntax-checker-proxy') THEN 'medium' ELSE 'low' END AS class_risk, count(*) AS n_rows FROM c GROUP BY ALL""")
+def risk_class(spark, sf_dir):
+    """Both risk rules and the tool class, with parts standing for artifacts."""
+    kind, size = F.col("p_type"), F.col("p_size")
+    tool = classify.cases((F.contains(kind, F.lit("TIN")), "regex-counter"), (F.contains(kind, F.lit("COPPER")), "tree-sitter-x"), (F.contains(kind, F.lit("BRASS")), "jdtls"), (F.contains(kind, F.lit("STEEL")), "project"), otherwise="bash-n")
+    language = classify.cases((size % 10 == 0, "json"), (size % 10 == 1, "ejs"), otherwise="go")
+    r = Tables(spark, sf_dir).part.select(tool.alias("tool"), language.alias("language"), (size % 7 == 0).alias("detector"), (size % 3 != 0).alias("validated"), (size / 5.0).alias("ratio"))
+    r = r.withColumn("tool_class", classify.tool_class(F.col("language"), F.col("tool"), F.col("detector")))
+    risk = classify.truth_risk(F.col("language"), F.col("tool"), F.col("detector"), F.col("validated"), F.col("ratio"))
+    return r.groupBy("tool_class", risk.alias("risk"), classify.tool_risk(F.col("language"), F.col("tool_class"), F.col("detector")).alias("class_risk")).agg(F.count("*").alias("n_rows"))
+
+
+@query("""SELECT doc_id, CASE lang WHEN 'en' THEN 'English' WHEN 'de' THEN 'German' ELSE lang END AS language, CASE WHEN source LIKE 'src%' THEN 'S' || substr(source, 2) ELSE upper(substr(source, 1, 1)) || substr(source, 2) END AS label FROM documents""")
+def dictionary_lookup(spark, sf_dir):
+    """Dictionary lookup that passes unknown values, and labels."""
+    return Tables(spark, sf_dir).documents.select("doc_id", S.lookup(F.col("lang"), {"en": "English", "de": "German"}).alias("language"), S.label(F.col("source")).alias("label"))
+
+
+@query("""SELECT p_partkey, round(greatest(2.0, p_retailprice / max(p_retailprice) OVER () * 100), 6) AS bar, round(8 + sqrt(p_size / max(p_size) OVER ()) * 16, 6) AS thickness FROM part""")
+def bar_scale(spark, sf_dir):
+    """Bars against the largest value, which is found first and joined as one row."""
+    part = Tables(spark, sf_dir).part
+    top = part.agg(F.max("p_retailprice").alias("top"), F.max("p_size").alias("size"))
+    return part.crossJoin(F.broadcast(top)).select("p_partkey", F.round(N.bar_percent(F.col("p_retailprice"), F.col("top")), 6).alias("bar"), F.round(N.bar_thickness(F.col("p_size"), F.col("size")), 6).alias("thickness"))  # one row
+
+
+# Filters, search, joins, sets.
+
+
+@query("""SELECT c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE contains(lower(c_name), 'au') OR contains(lower(c_mktsegment), 'au') OR contains(lower(n_name), 'au')""")
+def text_search(spark, sf_dir):
+    """a literal, case-blind substring in one of several columns."""
+    t = Tables(spark, sf_dir)
+    rows = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    return rows.where(explore.matches("  AU ", "c_name", "c_mktsegment", "n_name")).select("c_custkey")
+
+
+def _month(t: Tables) -> DataFrame:
+    return t.lineitem.where((F.col("l_shipdate") >= "1995-03-01") & (F.col("l_shipdate") < "1995-04-01")).select(F.col("l_partkey").alias("p_partkey"), "l_orderkey", "l_linenumber", "l_quantity")
+
+
+def _month_sql(order: str) -> str:
+    return f"""WITH m AS (SELECT l_partkey, l_orderkey, l_linenumber, l_quantity, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey {order}, l_linenumber {order}, l_quantity {order}) AS rn FROM lineitem WHERE l_shipdate >= '1995-03-01' AND l_shipdate < '1995-04-01')
+SELECT p_partkey, l_orderkey, l_linenumber, l_quantity FROM part LEFT JOIN m ON p_partkey = l_partkey AND rn = 1"""
+
+
+@query(_month_sql("ASC"))
+def left_first_match(spark, sf_dir):
+    """Every part with its first line of a month."""
+    t = Tables(spark, sf_dir)
+    return joins.left_first(t.part.select("p_partkey"), _month(t), ["p_partkey"], [F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_quantity")])
+
+
+@query(_month_sql("DESC"))
+def left_last_match(spark, sf_dir):
+    """Every part with its last line of a month."""
+    t = Tables(spark, sf_dir)
+    return joins.left_last(t.part.select("p_partkey"), _month(t), ["p_partkey"], [F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_quantity")])
+
+
+@query("SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
+def left_anti_seen(spark, sf_dir):
+    """Documents without a label."""
+    t = Tables(spark, sf_dir)
+    return joins.unseen(t.documents.select("doc_id", "lang"), t.labels, ["doc_id"])
+
+
+@query("SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
+def left_semi_listed(spark, sf_dir):
+    """Documents with a label."""
+    t = Tables(spark, sf_dir)
+    return joins.listed(t.documents.select("doc_id", "lang"), t.labels, ["doc_id"])
+
+
+@query("""WITH b AS (SELECT doc_id, 'label' AS origin, row_number() OVER (PARTITION BY doc_id ORDER BY quality DESC, toxic DESC) AS rn, quality AS value FROM labels),
+a AS (SELECT doc_id, 'default' AS origin, 1 AS rn, 9 AS value FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels))
+SELECT doc_id, origin, CAST(value AS INTEGER) AS value FROM (SELECT * FROM b UNION ALL SELECT * FROM a) WHERE rn = 1""")
+def upsert_merge(spark, sf_dir):
+    """The last label of a document, a default where there is none."""
+    t = Tables(spark, sf_dir)
+    base = t.labels.select("doc_id", F.lit("label").alias("origin"), F.col("quality").alias("value"), (F.col("quality") * 2 + F.col("toxic")).cast("long").alias("position"))
+    added = t.documents.select("doc_id", F.lit("default").alias("origin"), F.lit(9).alias("value"), F.lit(0).cast("long").alias("position"))
+    return joins.upsert(base, added, ["doc_id"], "position").select("doc_id", "origin", "value")
+
+
+@query("""SELECT source, min(n_chars) AS least, max(n_chars) AS largest, CASE WHEN count(*) % 2 = 0 THEN floor(median(n_chars) + 0.5) ELSE median(n_chars) END AS median, arg_min(doc_id, (n_chars, doc_id)) AS least_doc, arg_min(doc_id, (-n_chars, doc_id)) AS largest_doc FROM documents GROUP BY source""")
+def median_minmax_argmin(spark, sf_dir):
+    """Extremes, the rounded median and who holds the ends, by source."""
+    n = F.col("n_chars")
+    median = F.median(n)
+    return Tables(spark, sf_dir).documents.groupBy("source").agg(F.min(n).alias("least"), F.max(n).alias("largest"), F.when(F.count("*") % 2 == 0, F.floor(median + 0.5)).otherwise(median).cast("double").alias("median"), F.min_by("doc_id", F.struct(n, F.col("doc_id"))).alias("least_doc"), F.min_by("doc_id", F.struct(-n, F.col("doc_id"))).alias("largest_doc"))
+
+
+@query("""WITH s AS (SELECT c_mktsegment AS name, sum(CAST(o_totalprice AS DECIMAL(18,4)))::DOUBLE AS value, min(o_totalprice) AS seconds FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY c_mktsegment)
+SELECT min(value) AS least, max(value) AS largest, CASE WHEN count(*) % 2 = 0 THEN floor(median(value) + 0.5) ELSE median(value) END AS median, arg_min(name, (value, name)) AS least_name, arg_min(name, (-value, name)) AS largest_name, min(seconds) AS fastest, arg_min(name, (seconds, name)) AS fastest_name FROM s""")
+def hero_figures(spark, sf_dir):
+    """One row of headline figures with their owners."""
+    t = Tables(spark, sf_dir)
+    s = t.customer.join(t.orders, F.col("c_custkey") == F.col("o_custkey")).groupBy(F.col("c_mktsegment").alias("name")).agg(F.sum(money(F.col("o_totalprice"))).cast("double").alias("value"), F.min("o_totalprice").alias("seconds"))
+    return token_figures(s, "value", "seconds", "name")
+
+
+@query("""WITH s AS (SELECT p_brand AS name, max(p_retailprice) AS ratio FROM part GROUP BY p_brand)
+SELECT arg_min(name, (-ratio, name)) AS widest, arg_min(name, (ratio, name)) AS narrowest, round(max(ratio), 4) AS max_ratio, round(min(ratio), 4) AS min_ratio FROM s""")
+def widest_narrowest(spark, sf_dir):
+    """The names of the extremes."""
+    return ratio_ends(Tables(spark, sf_dir).part.groupBy(F.col("p_brand").alias("name")).agg(F.max("p_retailprice").alias("ratio")), "ratio", "name")
+
+
+@query("""SELECT user_id, CAST(ts AS DATE) AS day, array_to_string(list_sort(list_distinct(list(event_type))), ',') AS kinds, count(*) AS n_rows FROM events GROUP BY user_id, CAST(ts AS DATE)""")
+def distinct_union_arrays(spark, sf_dir):
+    """The sorted union of arrays per user and day."""
+    events = Tables(spark, sf_dir).events.select("user_id", F.to_date("ts").alias("day"), F.array("event_type").alias("kinds"))
+    return events.groupBy("user_id", "day").agg(F.array_join(union_sorted(F.col("kinds")), ",").alias("kinds"), F.count("*").alias("n_rows"))
+
+
+@query("SELECT source, coalesce(bool_and(n_chars > 100), true) AS every_long, coalesce(bool_or(n_chars > 20000), false) AS some_longest FROM documents GROUP BY source")
+def every_some_gates(spark, sf_dir):
+    """Gates that are true and false for no rows."""
+    return Tables(spark, sf_dir).documents.groupBy("source").agg(N.every(F.col("n_chars") > 100).alias("every_long"), N.some(F.col("n_chars") > 20000).alias("some_longest"))
+
+
+# Graph: nations, with an edge from customer's to supplier's where revenue is large.
+
+_EDGES_SQL = """revenue AS (SELECT c_nationkey AS s, s_nationkey AS t, sum(CAST(l_extendedprice AS DECIMAL(18,4))) AS v FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2),
+edges AS (SELECT s, t FROM revenue WHERE CAST(v AS DOUBLE) > 2 * (SELECT CAST(sum(v) AS DOUBLE) / count(*) FROM revenue) AND s <> t),
+both_ways AS (SELECT s AS node, t AS neighbour FROM edges UNION SELECT t, s FROM edges)"""
+
+
+def nation_edges(t: Tables) -> DataFrame:
+    lines = t.lineitem.select("l_orderkey", "l_suppkey", "l_extendedprice").join(t.orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).join(t.customer.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).join(t.supplier.select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
+    revenue = lines.groupBy(F.col("c_nationkey").alias("s"), F.col("s_nationkey").alias("t")).agg(F.sum(money(F.col("l_extendedprice"))).alias("v"))
+    mean = revenue.agg((F.sum("v").cast("double") / F.count("*")).alias("mean"))
+    return revenue.crossJoin(F.broadcast(mean)).where(F.col("v").cast("double") > 2 * F.col("mean")).select("s", "t")  # one row
+
+
+def nations(t: Tables) -> DataFrame:
+    return t.nation.select(F.col("n_nationkey").alias("node"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("c"))
+
+
+@query(f"""WITH {_EDGES_SQL}, d AS (SELECT node, count(*) AS degree FROM both_ways GROUP BY node)
+SELECT n_nationkey AS node, coalesce(degree, 0) AS degree, round(coalesce(degree, 0) / greatest((SELECT max(degree) FROM d), 1), 6) AS degree_share FROM nation LEFT JOIN d ON node = n_nationkey""")
+def undirected_degree(spark, sf_dir):
+    """Distinct neighbours both ways, and their share of the largest degree."""
+    t = Tables(spark, sf_dir)
+    return graph.degrees(nation_edges(t), nations(t)).withColumn("degree_share", F.round("degree_share", 6))
+
+
+@query(f"""WITH {_EDGES_SQL} SELECT node, count(*) AS degree FROM both_ways GROUP BY node ORDER BY degree DESC, node LIMIT 6""")
+def top_hubs(spark, sf_dir):
+    """The six nodes of the highest degree (a report)."""
+    t = Tables(spark, sf_dir)
+    return graph.top_hubs(graph.degrees(nation_edges(t), nations(t))).select("node", "degree")
+
+
+@query("SELECT n_regionkey AS c, count(*) AS nodes FROM nation GROUP BY n_regionkey")
+def community_counts(spark, sf_dir):
+    """Nodes by community."""
+    return graph.community_counts(nations(Tables(spark, sf_dir)))
+
+
+@query(f"""WITH {_EDGES_SQL} SELECT n_nationkey AS node, n_name AS name, n_regionkey AS c FROM nation WHERE n_nationkey NOT IN (SELECT node FROM both_ways)""")
+def isolated_nodes(spark, sf_dir):
+    """Nodes without a valid edge."""
+    t = Tables(spark, sf_dir)
+    return graph.isolated(nation_edges(t), nations(t))
+
+
+@query(f"""WITH {_EDGES_SQL} SELECT s, t, a.n_name AS s_name, b.n_name AS t_name, a.n_regionkey = b.n_regionkey AS inside FROM edges JOIN nation a ON s = a.n_nationkey JOIN nation b ON t = b.n_nationkey""")
+def edge_node_join(spark, sf_dir):
+    """Edges with columns of both ends."""
+    t = Tables(spark, sf_dir)
+    return graph.with_ends(graph.valid_edges(nation_edges(t), nations(t)), nations(t), ["name", "c"]).select("s", "t", "s_name", "t_name", (F.col("s_c") == F.col("t_c")).alias("inside"))
+
+
+@query()
+def force_layout(spark, sf_dir):
+    """Positions of the nation graph; an iteration that SQL does not express."""
+    t = Tables(spark, sf_dir)
+    places = graph.layout(nations(t).select(F.col("node").cast("long").alias("node"), F.col("name").alias("id")), nation_edges(t), "layout")
+    return places.select("node", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+# Windows, sorting, unions.
+
+
+@query("""WITH f AS (SELECT event_id, user_id, value >= 50 AS high, lag(value >= 50) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events)
+SELECT event_id, NOT high AND coalesce(before, true) AS band_start FROM f""")
+def lag_band(spark, sf_dir):
+    """Rows where a flag turns from true to false, or is false in the first row."""
+    events = Tables(spark, sf_dir).events.withColumn("high", F.col("value") >= 50)
+    return explore.band_starts(events, "high", [F.col("ts"), F.col("event_id")], "user_id").select("event_id", "band_start")
+
+
+@query("""SELECT conv_id, turn, lpad(CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS VARCHAR), 2, '0') AS place FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) < 100""")
+def running_index_pad(spark, sf_dir):
+    """A padded running index of the turns of a conversation (two digits are the feature)."""
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
+    rows = Tables(spark, sf_dir).conversations.withColumn("n", place).where("n < 100")
+    return rows.select("conv_id", "turn", S.padded_index(F.col("n") - 1).alias("place"))
+
+
+@query(f"""WITH m AS ({_MARKED_SQL}) SELECT doc_id, row_number() OVER (PARTITION BY lang ORDER BY quality DESC NULLS LAST, doc_id) AS down, row_number() OVER (PARTITION BY lang ORDER BY quality ASC NULLS LAST, doc_id) AS up, row_number() OVER (PARTITION BY lang ORDER BY coalesce(quality, 0) DESC, doc_id) AS zero FROM m""")
+def null_last_sort(spark, sf_dir):
+    """O1, O2: places with nulls last both ways, and with nulls as zero."""
+    w = Window.partitionBy("lang")
+    m = marked_documents(Tables(spark, sf_dir))
+    return m.select("doc_id", F.row_number().over(w.orderBy(*explore.null_last("quality", "desc", "doc_id"))).alias("down"), F.row_number().over(w.orderBy(*explore.null_last("quality", "asc", "doc_id"))).alias("up"), F.row_number().over(w.orderBy(F.coalesce("quality", F.lit(0)).desc(), "doc_id")).alias("zero"))
+
+
+@query("""SELECT 'core' AS tier, CAST(n_nationkey AS BIGINT) AS id, n_name AS name, NULL::DOUBLE AS amount FROM nation UNION ALL SELECT 'live', s_suppkey, s_name, s_acctbal FROM supplier UNION ALL SELECT 'supported', p_partkey, NULL, p_retailprice FROM part""")
+def tier_union(spark, sf_dir):
+    """Tiers with missing columns."""
+    t = Tables(spark, sf_dir)
+    return explore.union_tiers(t.nation.select(F.lit("core").alias("tier"), F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name")), t.supplier.select(F.lit("live").alias("tier"), F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("amount")), t.part.select(F.lit("supported").alias("tier"), F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("amount"))).select("tier", "id", "name", "amount")
+
+
+def _explorer_rows(t: Tables) -> DataFrame:
+    m = marked_documents(t)
+    return explore.with_status(m.select(F.col("source").alias("language"), F.col("doc_id").cast("string").alias("repo"), F.lit(None).cast("string").alias("commit"), F.col("lang").alias("native_tool"), F.when(F.col("quality").isNotNull(), F.lit(2.0)).alias("token_ratio"), (F.col("toxic") == 1).alias("detector_only"), (F.col("n_chars") / 1000).alias("coverage_ratio"), F.when(F.col("lang") == "en", F.lit("core")).when(F.col("lang") == "de", F.lit("live")).otherwise(F.lit("supported")).alias("tier"), "doc_id"))
+
+
+@query(f"""WITH m AS ({_MARKED_SQL}) SELECT count(*) AS "all", count(*) FILTER (quality IS NOT NULL AND coalesce(toxic, 0) <> 1) AS comparable, count(*) FILTER (quality IS NULL) AS not_comparable, count(*) FILTER (quality IS NOT NULL AND toxic = 1) AS detector_only, count(*) FILTER (n_chars / 1000 > 1.0001) AS exceeds_native, count(*) FILTER (lang NOT IN ('en', 'de')) AS supported, count(*) FILTER (lang = 'en') AS core, count(*) FILTER (lang = 'de') AS live FROM m""")
+def facet_counts(spark, sf_dir):
+    """Counts of every filter over all rows."""
+    return explore.facets(_explorer_rows(Tables(spark, sf_dir)))
+
+
+@query(f"""WITH m AS ({_MARKED_SQL}) SELECT doc_id, source AS language, 'S' || substr(source, 2) AS label FROM m WHERE quality IS NOT NULL AND coalesce(toxic, 0) <> 1 AND (contains(source, 'c1') OR contains(CAST(doc_id AS VARCHAR), 'c1') OR contains(lang, 'c1'))""")
+def explore_rows(spark, sf_dir):
+    """Filter, search and sort together."""
+    return explore.explore(_explorer_rows(Tables(spark, sf_dir)), "comparable", "C1", "coverage").select("doc_id", "language", "label")
+
+
+# Strings, patterns, dates, hashes.
+
+
+@query(r"""SELECT page_id, len(regexp_extract_all(html, '<p>')) AS paragraphs, len(regexp_extract_all(html, '\bhref="[^"]*"')) AS links, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_matches(html, '[@ ][A-Za-z0-9_./-]+:[0-9]+\b') AS located FROM pages""")
+def regex_match_counts(spark, sf_dir):
+    """Pattern counts, extraction and the location pattern over pages."""
+    html = F.col("html")
+    return Tables(spark, sf_dir).pages.select("page_id", S.match_count(html, "<p>").alias("paragraphs"), S.match_count(html, r'\bhref="[^"]*"').alias("links"), F.regexp_extract(html, "<title>([^<]*)</title>", 1).alias("title"), evidence.has_subject_location(html).alias("located"))
+
+
+@query(r"""SELECT page_id, regexp_extract(url, '^https?://([^/]*)', 1) AS slug, CASE WHEN instr(url, '/en/') > 0 THEN coalesce(nullif(substr(url, instr(url, '/en/') + 4), ''), '.') ELSE '.' END AS target, list_extract(string_split(url, '/'), -1) AS last, 'work/' || CASE WHEN instr(url, 'example') > 0 THEN substr(url, 1, instr(url, 'example') - 1) || 'X' || substr(url, instr(url, 'example') + 7) ELSE url END AS command FROM pages""")
+def slug_and_suffix(spark, sf_dir):
+    """Slugs, what follows a marker, the last part, and replacement of the first occurrence only."""
+    url = F.col("url")
+    return Tables(spark, sf_dir).pages.select("page_id", F.regexp_extract(url, "^https?://([^/]*)", 1).alias("slug"), S.after_marker(url, "/en/").alias("target"), S.last_part(url).alias("last"), F.concat(F.lit("work/"), S.replace_first(url, "example", "X")).alias("command"))
+
+
+@query("""SELECT page_id, 'git clone https://github.com/' || regexp_extract(url, '^https?://([^/]*)', 1) || '.git work/en/' || lpad(CAST(page_id % 90 + 1 AS VARCHAR), 2, '0') || '-' || regexp_extract(url, '^https?://([^/]*)', 1) AS command FROM pages""")
+def command_template(spark, sf_dir):
+    """Commands from a template with a slug and a padded index."""
+    repo = F.concat(F.lit("https://github.com/"), F.regexp_extract("url", "^https?://([^/]*)", 1), F.lit(".git"))
+    return Tables(spark, sf_dir).pages.select("page_id", F.concat(F.lit("git clone "), repo, F.lit(" work/en/"), S.padded_index(F.col("page_id") % 90), F.lit("-"), S.slug(repo)).alias("command"))
+
+
+@query("""SELECT event_id, strftime(make_timestamp(CAST(event_id * 1000000 AS BIGINT)), '%Y-%m-%dT%H:%M:%S.000Z') AS iso FROM events""")
+def epoch_iso(spark, sf_dir):
+    """ISO times from epoch seconds."""
+    return Tables(spark, sf_dir).events.select("event_id", S.iso_time(F.col("event_id")).alias("iso"))
+
+
+@query("SELECT doc_id, sha256(text) AS sha256, CAST(octet_length(encode(text)) AS BIGINT) AS bytes FROM documents")
+def sha256_content(spark, sf_dir):
+    """Digests and sizes of contents."""
+    return Tables(spark, sf_dir).documents.select("doc_id", F.sha2("text", 256).alias("sha256"), F.octet_length("text").cast("long").alias("bytes"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_retailprice < 1000 THEN format('{:.3f}', (p_retailprice + 0.0001) / 1000) || 's' ELSE format('{:.2f}', CAST(p_size AS DOUBLE)) || 's' END AS seconds, format('{:.2f}', CAST(p_size AS DOUBLE)) || '×' AS ratio, format('{:,}', p_partkey * 1000) AS n FROM part""")
+def text_formats(spark, sf_dir):
+    """Formats of seconds, ratios and thousands."""
+    s = F.when(F.col("p_retailprice") < 1000, (F.col("p_retailprice") + 0.0001) / 1000).otherwise(F.col("p_size").cast("double"))
+    return Tables(spark, sf_dir).part.select("p_partkey", S.seconds_text(s).alias("seconds"), S.ratio_text(F.col("p_size").cast("double")).alias("ratio"), S.thousands(F.col("p_partkey") * 1000).alias("n"))
+
+
+# Evidence and gates.
+
+
+@query("""WITH e AS (SELECT page_id, list_filter([CASE WHEN url IS NULL OR url = '' THEN 'missing url' END, CASE WHEN length(html) < 2000 THEN 'page has only ' || length(html) || ' characters' END, CASE WHEN NOT contains(html, '</html>') THEN 'page is truncated' END], lambda x: x IS NOT NULL) AS errors FROM pages)
+SELECT page_id, unnest(errors) AS message FROM e""")
+def dq_messages(spark, sf_dir):
+    """The messages of all rules that a row breaks."""
+    html, url = F.col("html"), F.col("url")
+    found = evidence.quality_messages((S.filled(url).isNull(), "missing url"), (F.length(html) < 2000, F.format_string("page has only %d characters", F.length(html))), (~F.contains(html, F.lit("</html>")), "page is truncated"))
+    return Tables(spark, sf_dir).pages.select("page_id", F.explode(found).alias("message"))
+
+
+@query("""WITH e AS (SELECT len(list_filter([CASE WHEN length(html) < 2000 THEN 1 END, CASE WHEN NOT contains(html, '</html>') THEN 1 END], lambda x: x IS NOT NULL)) AS n FROM pages)
+SELECT count(*) AS n_rows, count(*) FILTER (n = 0) AS clean_rows, CAST(sum(n) AS BIGINT) AS messages, bool_and(n = 0) AS passed FROM e""")
+def dq_gate(spark, sf_dir):
+    """Counts and the gate over all rows."""
+    html = F.col("html")
+    rows = Tables(spark, sf_dir).pages.select(evidence.quality_messages((F.length(html) < 2000, "short"), (~F.contains(html, F.lit("</html>")), "truncated")).alias("errors"))
+    return evidence.with_gate(rows).withColumnRenamed("rows", "n_rows")
+
+
+@query("""WITH t AS (SELECT conv_id, turn, role, text, lead(role) OVER w AS next_role, lead(text) OVER w AS next_text FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+p AS (SELECT conv_id, regexp_extract(text, '^([^ ]+)', 1) AS symbol, text, next_text FROM t WHERE role = 'user' AND next_role = 'assistant')
+SELECT count(*) AS comparable_rows, count(*) FILTER (symbol <> '' AND contains(lower(text), lower(symbol)) AND contains(lower(next_text), lower(symbol))) AS named_rows FROM p""")
+def evidence_pairing(spark, sf_dir):
+    """E5: pairs of question and answer that both hold the question's first word."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    t = Tables(spark, sf_dir).conversations.withColumn("next_role", F.lead("role").over(w)).withColumn("next_text", F.lead("text").over(w))
+    p = t.where("role = 'user' AND next_role = 'assistant'").withColumn("symbol", F.regexp_extract("text", "^([^ ]+)", 1))
+    named = (F.col("symbol") != "") & F.contains(F.lower("text"), F.lower("symbol")) & F.contains(F.lower("next_text"), F.lower("symbol"))
+    return p.agg(F.count("*").alias("comparable_rows"), N.count_true(named).alias("named_rows"))
+
+
+@query("""WITH w AS (SELECT conv_id, list_distinct(flatten(list(string_split(text, ' ')) FILTER (role = 'user'))) AS asked, list_distinct(flatten(list(string_split(text, ' ')) FILTER (role = 'assistant'))) AS answered FROM conversations GROUP BY conv_id)
+SELECT conv_id, round(len(list_intersect(asked, answered)) / len(asked), 6) AS recall, round(len(list_intersect(answered, asked)) / len(answered), 6) AS precision FROM w WHERE len(asked) > 0 AND len(answered) > 0""")
+def set_recall_precision(spark, sf_dir):
+    """Recall and precision of two sets of words."""
+    words = lambda role: F.array_distinct(F.flatten(F.collect_list(F.when(F.col("role") == role, F.split("text", " ")))))
+    w = Tables(spark, sf_dir).conversations.groupBy("conv_id").agg(words("user").alias("asked"), words("assistant").alias("answered"))
+    rows = evidence.recall_precision(w.where("size(asked) > 0 AND size(answered) > 0"), "asked", "answered")
+    return rows.select("conv_id", F.round("recall", 6).alias("recall"), F.round("precision", 6).alias("precision"))
+
+
+@query("""WITH c AS (SELECT c_nationkey AS g, count(*) AS calls, count(*) FILTER (c_acctbal > 5000) AS typed FROM customer GROUP BY 1)
+SELECT g, calls AS subject_calls, CASE WHEN typed > 0 THEN typed END AS typed_calls, CASE WHEN typed > 0 THEN 'receiver-typed' ELSE 'calls-only' END AS status, CASE WHEN typed > 0 THEN round(typed / calls, 4) END AS typed_ratio FROM c""")
+def call_evidence(spark, sf_dir):
+    """Status by which of two measures is present, and their ratio."""
+    rows = Tables(spark, sf_dir).customer.groupBy(F.col("c_nationkey").alias("g")).agg(F.count("*").alias("subject_calls"), F.count_if(F.col("c_acctbal") > 5000).alias("typed"))
+    rows = rows.withColumn("typed_calls", F.when(F.col("typed") > 0, F.col("typed"))).drop("typed")
+    return evidence.call_evidence(rows)
+
+
+@query("""SELECT page_id AS path, 'component' AS kind, len(regexp_extract_all(html, '<([A-Z][A-Za-z0-9_.]*)\\b')) AS n FROM pages UNION ALL SELECT page_id, 'template', 1 FROM pages UNION ALL SELECT page_id, 'variable', len(regexp_extract_all(html, '\\b(?:const|let|var)\\s+[A-Za-z_$][\\w$]*')) FROM pages""".replace("\\\\", "\\"))
+def scan_kinds(spark, sf_dir):
+    """Definition counts by kind with patterns; pages stand for source files."""
+    files = Tables(spark, sf_dir).pages.select(F.col("page_id").alias("path"), F.col("html").alias("text"))
+    counts = scan.kind_counts(files, {"component": scan.RAZOR["component"], "variable": scan.EJS["variable"]})
+    return counts.unionByName(files.select("path", F.lit("template").alias("kind"), F.lit(1).cast("long").alias("n")))

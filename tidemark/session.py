@@ -13,12 +13,19 @@ from pyspark.sql import DataFrame, SparkSession
 _SHIPPED: set[str] = set()
 
 
+ARROW_RECORDS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the Python workers, once per Spark application.
 
     Executors need not have the repository on their path: a zip of the package
-    goes through ``addPyFile``, which every executor fetches from the driver.
+    goes through ``addPyFile``, which every executor fetches from the driver. Arrow
+    batches of whole texts get fewer rows than Spark's default, which a text of some
+    kilobytes would make tens of megabytes per task; a setting of the user's own stays.
     """
+    if spark.conf.get(ARROW_RECORDS) == "10000":
+        spark.conf.set(ARROW_RECORDS, "1000")
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
