@@ -3,11 +3,11 @@
 Tokens are runs of ASCII letters and digits and of other bytes from 0x80, in lower
 case. Each fixed mask looks at some tokens of a window and ignores the others; equal
 hashes of a document's and a benchmark item's window are a hit. Around each hit the
-diagonal (document position less item position) is verified: the segment with the
-best score (1 for an equal token, -3 for a substituted one) must have at least
-``MIN_TOKENS`` tokens, or the whole item if that is shorter, of which three quarters
-are equal. The masks hit every 13-token overlap with up to two substitutions, and 276
-of the 286 placements of three.
+diagonal (document position less item position) is verified: the longest segment that
+begins and ends with an equal token and has three quarters of equal ones must have at
+least ``MIN_TOKENS`` tokens, or the item's length less ``EDGES`` if that is smaller.
+The masks hit every 13-token overlap with up to two substitutions, and 276 of the 286
+placements of three; two at the ends leave a segment of 11 tokens.
 
 The benchmark is searched in blocks of at most ``BLOCK_TOKENS`` tokens; the hashes of
 one block are broadcast for one pass over the documents, which do not move.
@@ -25,7 +25,9 @@ from tidemark.llm.frames import require, with_text_columns
 from tidemark.llm.text import NOT_ALNUM, Words, buffers, lower, mix
 
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 4, 7, 8, 9), (0, 1, 2, 3, 4, 5), (0, 2, 3, 7, 8, 9))
-MIN_TOKENS = 13
+MIN_TOKENS = 11
+#: Substitutions at the ends of an item do not count against it.
+EDGES = 2
 #: Items with fewer tokens are too short to tell and are left out.
 MIN_ITEM = 8
 BLOCK_TOKENS = 500_000
@@ -92,7 +94,7 @@ class Block:
             words, item = hashes[bounds[t] : bounds[t + 1]], self.hashes[self.bounds[i] : self.bounds[i + 1]]
             low, high = max(0, diagonal), min(len(words), diagonal + len(item))
             same = words[low:high] == item[low - diagonal : high - diagonal]
-            start, end = best_segment(same)
+            start, end = longest_segment(same)
             equal = int(same[start:end].sum())
             if end - start >= min(MIN_TOKENS, len(item)) and 4 * equal >= 3 * (end - start):
                 row = (int(self.ids[i]), low + start, end - start, equal)
@@ -101,13 +103,17 @@ class Block:
         return [sorted(d.values()) for d in out]
 
 
-def best_segment(same: np.ndarray) -> tuple[int, int]:
-    """Start and end of the segment with the best score, the first and longest of equals."""
+def longest_segment(same: np.ndarray) -> tuple[int, int]:
+    """The longest segment that begins and ends with an equal token and has three quarters of them, the first of equals."""
+    at = np.flatnonzero(same)
+    if not len(at):
+        return 0, 0
     total = np.concatenate([[0], np.cumsum(np.where(same, 1, MISMATCH))])
-    least = np.minimum.accumulate(total)
-    end = int(np.argmax(total - least))
-    start = int(np.flatnonzero(total[: end + 1] == least[end])[0]) if end else 0
-    return start, end
+    # For every end, the earliest start with no larger sum before it: a segment of score 0 or more.
+    least = np.minimum.accumulate(total[at])
+    start = at[np.searchsorted(-least, -total[at + 1])]
+    best = int(np.argmax(at + 1 - start))
+    return int(start[best]), int(at[best]) + 1
 
 
 def blocks_of(benchmark: DataFrame, text: str, item_id: str) -> list[Block]:
