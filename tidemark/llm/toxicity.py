@@ -28,6 +28,8 @@ FACTORS = 8
 #: Labelled rows that the model is fitted to: half of them of each class at most.
 MAX_TRAINING = 12_000
 PREFIXES = (4, 6)
+#: Least z-value of a bucket's difference between the classes, to leave chance out.
+LEAST_Z = 4.0
 
 
 def terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -70,25 +72,25 @@ def raw_scores(row: np.ndarray, at: np.ndarray, n: int, w: np.ndarray, v: np.nda
     return z, sums
 
 
-def select_buckets(row: np.ndarray, bucket: np.ndarray, label: np.ndarray) -> np.ndarray:
+def select_buckets(row: np.ndarray, bucket: np.ndarray, label: np.ndarray, least_z: float = LEAST_Z) -> np.ndarray:
     """The buckets whose share of texts differs most between the classes, by z-value; ties by number."""
     n1, n0 = max(1, int(label.sum())), max(1, int((1 - label).sum()))
     c1 = np.bincount(bucket[label[row] == 1], minlength=BUCKETS)
     c0 = np.bincount(bucket[label[row] == 0], minlength=BUCKETS)
     p = (c1 + c0) / (n1 + n0)
     z = np.abs(c1 / n1 - c0 / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / n1 + 1 / n0))
-    z[c1 + c0 < 3] = 0
+    z[(c1 + c0 < 3) | (z < least_z)] = 0
     best = np.argsort(-z, kind="stable")[:SELECTED]
-    return np.sort(best[z[best] > 0])
+    return np.sort(best[z[best] > 0]) if least_z > 0 else np.sort(best[(c1 + c0)[best] >= 3])
 
 
-def train(row: np.ndarray, bucket: np.ndarray, label: np.ndarray, shift: float = 0.0, epochs: int = 30, rate: float = 0.1, decay: float = 1e-4, batch: int = 256, seed: int = 5) -> Machine:
+def train(row: np.ndarray, bucket: np.ndarray, label: np.ndarray, shift: float = 0.0, epochs: int = 30, rate: float = 0.1, decay: float = 1e-4, batch: int = 256, seed: int = 5, least_z: float = LEAST_Z) -> Machine:
     """Fit by Adagrad on the logistic loss; rows must be ordered by text.
 
     shift is added to the bias afterwards: the log of how much more often one class
     was sampled, so that scores are probabilities at the corpus's own rate.
     """
-    chosen = select_buckets(row, bucket, label)
+    chosen = select_buckets(row, bucket, label, least_z)
     place = np.full(BUCKETS, -1, np.int32)
     place[chosen] = np.arange(len(chosen))
     at = place[bucket]
