@@ -377,7 +377,7 @@ def jaccard_components(documents: DataFrame, text: str = "text", id_col: str = "
     sets = scratch.table(rows.where(F.col("kind") == SET).select("doc", "n", "digest", "bits"), "sets")
     linkable = sets.where("n > 0 AND doc IS NOT NULL")
     least = linkable.groupBy("digest").agg(F.min("doc").alias("rep"), F.count("*").alias("rows")).where("rows > 1").select("digest", "rep")
-    equal = scratch.table(linkable.join(least, "digest", "left").select("doc", F.coalesce("rep", "doc").alias("rep")).distinct(), "equal")
+    equal = scratch.table(linkable.join(least, "digest", "left").select("doc", F.coalesce("rep", "doc").alias("rep")), "equal")
     copies = equal.where("doc <> rep").select(F.col("rep").alias("u"), F.col("doc").alias("v"))
 
     singles = rows.where(F.col("kind") == SINGLE).select("part", "block").groupBy("part").applyInPandas(_shared_singles, "sig long, doc long, n int")
