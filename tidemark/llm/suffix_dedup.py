@@ -21,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +34,7 @@ WINDOW = 400
 GRAM = 48
 #: Anchors of one gram that are sorted in one task; beyond, windows are counted by digest.
 HOT = 20_000
-BUCKET = 20_000
+BUCKET = 8_000
 
 
 def window_anchors(data: np.ndarray, offsets: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
@@ -179,7 +180,7 @@ def repeated_spans(documents: DataFrame, text: str, scratch: Scratch, window: in
             rows = []
             for i, key in enumerate(keys):
                 if key not in seen:
-                    if len(seen) > 200_000:
+                    if len(seen) > 100_000:
                         seen.clear()
                     seen.add(key)
                     rows.append(i)
@@ -257,16 +258,21 @@ def suffix_array_dedup(documents: DataFrame, text: str = "text", window: int = W
     fields = "t1 long, t2 long, n_removed long, n_spans long, kept_sha256 string" + (", kept string" if kept_text else "")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string()]
         for batch in batches:
-            columns: list[list] = [[], [], []] + ([[]] if kept_text else [])
-            for raw, rows in zip(batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                runs = merged(np.array([(r["start"], r["end"]) for r in rows]))
-                rest = b"".join(raw[a:b] for a, b in zip([0, *[e for _, e in runs]], [*[s for s, _ in runs], len(raw)], strict=True))
-                made = (len(raw) - len(rest), len(runs), hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "ignore"))
-                for c, x in zip(columns, made, strict=False):
-                    c.append(x)
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=False)]], names=[f.split()[0] for f in fields.split(", ")])
+            for part in slices(batch, "__text"):
+                columns: list[list] = [[], [], []] + ([[]] if kept_text else [])
+                data, offsets = buffers(part.column(2))
+                whole, flat = data.tobytes(), part.column(3).flatten()
+                runs = np.stack([flat.field(c).to_numpy() for c in ("start", "end")], 1)
+                bounds = np.concatenate([[0], np.cumsum(pa.compute.list_value_length(part.column(3)).to_numpy())])
+                for i in range(part.num_rows):
+                    raw, cuts = whole[offsets[i] : offsets[i + 1]], merged(runs[bounds[i] : bounds[i + 1]])
+                    rest = b"".join(raw[a:b] for a, b in zip([0, *[e for _, e in cuts]], [*[s for s, _ in cuts], len(raw)], strict=True))
+                    made = (len(raw) - len(rest), len(cuts), hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "ignore"))
+                    for c, x in zip(columns, made, strict=False):
+                        c.append(x)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=False)]], names=[f.split()[0] for f in fields.split(", ")])
 
     done = scratch.table(texts.join(per_text, ["t1", "t2"]).select("t1", "t2", "__text", "spans").mapInArrow(cut, fields), "done")
     scratch.drop("texts")

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-MAX_BYTES = 2_000_000
+MAX_BYTES = 400_000
 
 _rng = np.random.Generator(np.random.PCG64(20240611))
 _BYTE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
