@@ -559,3 +559,140 @@ def scan_kinds(spark, sf_dir):
     files = Tables(spark, sf_dir).pages.select(F.col("page_id").alias("path"), F.col("html").alias("text"))
     counts = scan.kind_counts(files, {"component": scan.RAZOR["component"], "variable": scan.EJS["variable"]})
     return counts.unionByName(files.select("path", F.lit("template").alias("kind"), F.lit(1).cast("long").alias("n")))
+
+
+# Remaining operators of the inventory.
+
+
+@query("""SELECT lang, min(doc_id) AS first_doc, row_number() OVER (ORDER BY min(doc_id)) AS place FROM documents GROUP BY lang""")
+def distinct_by_first_seen(spark, sf_dir):
+    """Distinct values in the order in which they first occur."""
+    firsts = Tables(spark, sf_dir).documents.groupBy("lang").agg(F.min("doc_id").alias("first_doc"))
+    return firsts.withColumn("place", F.row_number().over(Window.orderBy("first_doc")).cast("long"))  # a row per language
+
+
+@query("""SELECT min(c_acctbal) AS min_x, max(c_acctbal) AS max_x, min(c_nationkey) AS min_y, max(c_nationkey) AS max_y FROM customer""")
+def bounding_box(spark, sf_dir):
+    """The box around all places."""
+    return graph.bounding_box(Tables(spark, sf_dir).customer.select(F.col("c_acctbal").alias("x"), F.col("c_nationkey").alias("y")))
+
+
+@query("""SELECT source, arg_max(doc_id, (n_chars, doc_id)) AS inspected FROM documents GROUP BY source""")
+def first_row_default(spark, sf_dir):
+    """The top-ranked row of every view is the default selection."""
+    d = Tables(spark, sf_dir).documents.select("source", "doc_id", "n_chars")
+    return joins.one_per_key(d, ["source"], [F.col("n_chars"), F.col("doc_id")], last=True).select("source", F.col("doc_id").alias("inspected"))
+
+
+@query("""SELECT conv_id, array_to_string(list(role ORDER BY turn)[1:3], ',') AS head FROM conversations GROUP BY conv_id""")
+def head_slices(spark, sf_dir):
+    """T4, T5: the first elements of an ordered array."""
+    c = Tables(spark, sf_dir).conversations
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"])
+    return c.groupBy("conv_id").agg(F.array_join(F.slice(ordered, 1, 3), ",").alias("head"))
+
+
+@query("""SELECT n_name, coalesce(list_position(['JAPAN', 'BRAZIL', 'FRANCE'], n_name), 999) AS rank FROM nation""")
+def allow_list_order(spark, sf_dir):
+    """The place in an allow-list, others behind it."""
+    names = ["JAPAN", "BRAZIL", "FRANCE"]
+    place = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("n_name"))
+    return joins.ordered_by_list(Tables(spark, sf_dir).nation, "n_name", names).select("n_name", F.when(place > 0, place).otherwise(F.lit(999)).cast("int").alias("rank"))
+
+
+@query("""SELECT p_partkey, p_brand, CAST(NULL AS VARCHAR) AS lang FROM part WHERE p_size < 10 UNION ALL SELECT doc_id, source, lang FROM documents WHERE lang <> 'en'""")
+def union_audit(spark, sf_dir):
+    """Rows of two kinds, concatenated."""
+    t = Tables(spark, sf_dir)
+    return explore.union_tiers(t.part.where("p_size < 10").select("p_partkey", "p_brand"), t.documents.where("lang <> 'en'").select(F.col("doc_id").alias("p_partkey"), F.col("source").alias("p_brand"), "lang")).select("p_partkey", "p_brand", "lang")
+
+
+@query("""SELECT (SELECT count(*) FROM orders) AS n_orders, (SELECT count(*) FROM documents) AS n_documents, (SELECT bool_and(n_chars > 0) FROM documents) AS passed""")
+def singleton_assembly(spark, sf_dir):
+    """A report from several one-row tables."""
+    t = Tables(spark, sf_dir)
+    one = t.orders.agg(F.count("*").alias("n_orders"))
+    return one.crossJoin(t.documents.agg(F.count("*").alias("n_documents"), N.every(F.col("n_chars") > 0).alias("passed")))  # one row each
+
+
+@query("""SELECT event_id, coalesce(TRY_CAST(event_type AS DOUBLE), 0) > 0 AS is_positive, event_type <> '' AS is_filled, coalesce(TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE), 0) > 50 AS is_high FROM events""")
+def truth_of_values(spark, sf_dir):
+    """Truth and number rules for text: malformed numbers are not positive, any text is true."""
+    e = Tables(spark, sf_dir).events
+    k = F.try_element_at(json_map(F.col("props")), F.lit("k"))
+    return e.select("event_id", N.positive(F.col("event_type")).alias("is_positive"), S.is_filled(F.col("event_type")).alias("is_filled"), (N.number_or_zero(k) > 50).alias("is_high"))
+
+
+@query("""WITH r AS (SELECT c_custkey, coalesce(list_filter([CASE WHEN c_custkey % 2 = 0 THEN c_acctbal END], lambda x: x IS NOT NULL)[1], c_nationkey) AS calls FROM customer) SELECT c_custkey, calls FROM r""")
+def polymorphic_json(spark, sf_dir):
+    """A block that is an array in some documents and an object in others, parsed by either shape."""
+    c = Tables(spark, sf_dir).customer
+    text = F.when(F.col("c_custkey") % 2 == 0, F.to_json(F.array(F.struct(F.lit("calls").alias("kind"), F.col("c_acctbal").alias("count"))))).otherwise(F.to_json(F.struct(F.col("c_nationkey").cast("double").alias("calls"))))
+    listed = F.filter(F.from_json("t", "array<struct<kind:string,count:double>>"), lambda x: x["kind"] == "calls")
+    return c.withColumn("t", text).select("c_custkey", F.coalesce(F.get(listed, 0)["count"], F.try_element_at(json_map(F.col("t"), "double"), F.lit("calls"))).alias("calls"))
+
+
+@query("""SELECT o_orderpriority, list_aggregate(list_transform(list(o_totalprice ORDER BY o_orderkey)[1:5], lambda x: round(x / 1000, 2)), 'string_agg', ',') AS iterations FROM orders GROUP BY o_orderpriority""")
+def nested_iterations(spark, sf_dir):
+    """A projection inside a nested array."""
+    rows = Tables(spark, sf_dir).orders.select("o_orderpriority", "o_orderkey", "o_totalprice")
+    w = Window.partitionBy("o_orderpriority").orderBy("o_orderkey")
+    first = rows.withColumn("place", F.row_number().over(w)).where("place <= 5")
+    listed = first.groupBy("o_orderpriority").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_totalprice"))).alias("x"))
+    return listed.select("o_orderpriority", F.array_join(F.transform("x", lambda v: F.round(v["o_totalprice"] / 1000, 2)), ",").alias("iterations"))
+
+
+@query("""WITH r AS (SELECT p_partkey, p_retailprice / 1400 AS ratio, p_size AS defs FROM part)
+SELECT count(*) AS n_rows, count(*) FILTER (ratio > 1.0) AS standouts, count(*) FILTER (ratio <= 1.0) AS at_parity, round(greatest(1.0, max(ratio)), 6) AS max_ratio, round(min(ratio), 6) AS min_ratio, CAST(greatest(1, max(CASE WHEN ratio > 1.0 THEN defs END)) AS BIGINT) AS max_definitions FROM r""")
+def parity_ladder(spark, sf_dir):
+    """The parity model, whose threshold is exactly 1."""
+    rows = Tables(spark, sf_dir).part.select("p_partkey", (F.col("p_retailprice") / 1400).alias("coverage_ratio"), F.col("p_size").cast("long").alias("subject_definitions"))
+    m = coverage.parity_model(rows)
+    return m.agg(F.count("*").alias("n_rows"), N.count_true(F.col("stands_out")).alias("standouts"), N.count_true(~F.col("stands_out")).alias("at_parity"), F.round(F.max("max_ratio"), 6).alias("max_ratio"), F.round(F.max("min_ratio"), 6).alias("min_ratio"), F.max("max_definitions").alias("max_definitions"))
+
+
+@query("""WITH RECURSIVE s AS (SELECT n_nationkey, n_name, 2166136261::BIGINT AS h, 1 AS i FROM nation UNION ALL SELECT n_nationkey, n_name, (xor(h, ascii(substr(n_name, i, 1))::BIGINT) * 16777619) % 4294967296, i + 1 FROM s WHERE i <= length(n_name))
+SELECT n_nationkey, h AS hash FROM s WHERE i = length(n_name) + 1""")
+def seeded_hash(spark, sf_dir):
+    """The 32-bit string hash behind seeded positions."""
+    return Tables(spark, sf_dir).nation.select("n_nationkey", S.fnv1a(F.col("n_name")).alias("hash"))
+
+
+@query("""SELECT o_orderkey, list_filter([CASE WHEN contains(c, '<') AND contains(c, '>') THEN 'native_command_contains_placeholder' END, CASE WHEN regexp_matches(c, '\\s\\([^)]*\\)\\s*$') THEN 'native_command_contains_inline_note' END], lambda x: x IS NOT NULL)::VARCHAR AS blockers
+FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'run <' || o_orderpriority || '>' WHEN o_orderkey % 3 = 1 THEN 'run ' || o_orderpriority || ' (note)' ELSE 'run ' || o_orderpriority END AS c FROM orders)""")
+def command_blockers(spark, sf_dir):
+    """Why a command cannot be run as it stands."""
+    k, p = F.col("o_orderkey") % 3, F.col("o_orderpriority")
+    c = F.when(k == 0, F.concat(F.lit("run <"), p, F.lit(">"))).when(k == 1, F.concat(F.lit("run "), p, F.lit(" (note)"))).otherwise(F.concat(F.lit("run "), p))
+    return Tables(spark, sf_dir).orders.select("o_orderkey", F.concat(F.lit("["), F.array_join(evidence.command_blockers(c, "helper-"), ", "), F.lit("]")).alias("blockers"))
+
+
+@query("""SELECT count(*) AS artifacts, count(*) FILTER (c > 0) AS with_comparable_rows, count(*) FILTER (c = 0) AS without_comparable_rows, count(*) FILTER (r <= 1.0001) AS coverage_parity, count(*) FILTER (r > 1.0001) AS coverage_exceed, count(*) FILTER (r < 0.9999) AS coverage_below, count(*) FILTER (d) AS detector_only, count(*) FILTER (v) AS validated, count(*) FILTER (NOT v) AS validation_pending
+FROM (SELECT p_size % 4 AS c, p_retailprice / 1400 AS r, p_size % 5 = 0 AS d, p_size % 3 <> 0 AS v FROM part)""")
+def artifact_counts(spark, sf_dir):
+    """A3: the nineteen conditional counts in one pass; parts stand for artifacts."""
+    size = F.col("p_size")
+    low = size > 10
+    rows = Tables(spark, sf_dir).part.select((size % 4).alias("comparable_rows"), (F.col("p_retailprice") / 1400).alias("coverage_ratio"), (size % 5 == 0).alias("detector_only"), (size % 3 != 0).alias("validation_passed"), *[low.alias(c) for c in ("pass_low", "token_target", "latency_target", "pass_target", "strict_target")])
+    return coverage.live_counts(rows).select("artifacts", "with_comparable_rows", "without_comparable_rows", "coverage_parity", "coverage_exceed", "coverage_below", "detector_only", "validated", "validation_pending")
+
+
+@query("""WITH o AS (SELECT c_nationkey AS g, o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'blocked' END AS b, o_totalprice > 300000 AS e FROM orders JOIN customer ON o_custkey = c_custkey)
+SELECT g, array_to_string(list_sort(list_distinct(list_filter(flatten([list(b), list(CASE WHEN e THEN 'large' END)]), lambda x: x IS NOT NULL))), ',') AS blockers FROM o GROUP BY g""")
+def readiness_blockers(spark, sf_dir):
+    """The set union of blockers per group."""
+    t = Tables(spark, sf_dir)
+    rows = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_nationkey").alias("g"), flags((F.col("o_orderstatus") == "P", "blocked"), (F.col("o_totalprice") > 300000, "large")).alias("blockers"))
+    return evidence.blockers_by(rows, "g").withColumn("blockers", F.array_join("blockers", ","))
+
+
+@query("""WITH l AS (SELECT p_brand, count(*) AS n, count(*) FILTER (p_size < 5) AS gone, bool_or(p_size = 50) AS detected FROM part GROUP BY p_brand)
+SELECT p_brand, CASE WHEN detected THEN 'detector-only' ELSE 'deterministic-extractor' END AS support_type, n AS n_rows, n - gone AS rival_rows, gone AS rival_missing_rows, round(gone / n, 4) AS rival_missing_ratio FROM l""")
+def support_classes(spark, sf_dir):
+    """Support type, query counts and the missing ratio; brands stand for languages."""
+    part = Tables(spark, sf_dir).part
+    q = F.struct((F.col("p_size") < 5).alias("rival_missing"), F.lit(False).alias("subject_missing"))
+    rows = part.groupBy(F.col("p_brand").alias("language")).agg(F.collect_list(q).alias("queries"), F.bool_or(F.col("p_size") == 50).alias("detector_only")).withColumn("file", F.col("language"))
+    none = spark.createDataFrame([], "language string, extractor string, extensions string, position int")
+    out = evidence.support(rows, none, none)
+    return out.select(F.col("language").alias("p_brand"), "support_type", F.col("rows").cast("long").alias("n_rows"), F.col("rival_rows").cast("long").alias("rival_rows"), F.col("rival_missing_rows").cast("long").alias("rival_missing_rows"), "rival_missing_ratio")
