@@ -128,3 +128,15 @@ def test_scanners(spark):
     solution = 'Project("{1}") = "a", "b.csproj"\n'
     assert counts(scan.projects(files(("a.csproj", xml), ("b.sln", solution * 2)))) == {("project", 3), ("sdk", 1), ("package", 1), ("project_reference", 1), ("target_framework", 3)}
     assert [list(r.paths) for r in scan.samples(scan.ejs(files(("b", ""), ("a", ""))), 1).collect()] == [["a"]]
+
+
+def test_set_scores_equal_the_arrays(spark):
+    arrays = spark.createDataFrame([("a", ["x", "y", "x"], ["y", "z"]), ("b", ["q"], ["q"])], "k string, e array<string>, f array<string>")
+    items = arrays.select("k", F.explode("e").alias("item"), F.lit(True).alias("expected")).union(arrays.select("k", F.explode("f"), F.lit(False)))
+    one_way = {r.k: (r.recall, r.precision) for r in evidence.recall_precision(arrays, "e", "f").collect()}
+    assert one_way == {r.k: (r.recall, r.precision) for r in evidence.set_scores(items, "k").collect()} == {"a": (0.5, 0.5), "b": (1.0, 1.0)}
+
+
+def test_blockers_are_distinct_and_empty_keys_stay(spark):
+    rows = spark.createDataFrame([("a", ["x"]), ("a", ["x", "w"]), ("b", [])], "k string, blockers array<string>")
+    assert {r.k: r.blockers for r in evidence.blockers_by(rows, "k").collect()} == {"a": ["w", "x"], "b": []}

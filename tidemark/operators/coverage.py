@@ -45,6 +45,14 @@ def validation_columns(validation: Column, default_minimum: int = 3) -> dict[str
     }
 
 
+def validation_rollup(rows: DataFrame, *keys: str, default_minimum: int = 3) -> DataFrame:
+    """``validation_columns`` over plain rows (ok, coverage_ratio): counts and minima, no arrays."""
+    repo = {"ok": F.col("ok"), "coverage_ratio": F.col("coverage_ratio")}
+    out = rows.groupBy(*keys).agg(F.count("*").alias("repo_count"), count_true(repo_passes(repo)).alias("passed_repo_count"), rounded(F.min(number(F.col("coverage_ratio"))), 4).alias("min_coverage_ratio"))
+    passed = (F.col("repo_count") >= default_minimum) & (F.col("passed_repo_count") >= default_minimum)
+    return out.withColumn("validation_passed", passed).withColumn("validation_status", F.when(passed, F.lit("passed")).when(F.col("repo_count") > 0, F.lit("partial")).otherwise(F.lit("missing")))
+
+
 def status_columns(ratio: Column, comparable_rows: Column, token_ratio: Column, latency_ratio: Column, token_target: Column, latency_target: Column, pass_target: Column) -> dict[str, Column]:
     """Parity and target flags with the array of blocker codes.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.collections import flags, has_entries, set_precision, set_recall, union_sorted
+from tidemark.functions.collections import flags, has_entries, set_precision, set_recall
 from tidemark.functions.numbers import count_true, every, number, ratio, rounded, some, total
 from tidemark.functions.strings import filled
 
@@ -182,8 +182,27 @@ def validation_gate(rows: DataFrame) -> DataFrame:
 
 
 def blockers_by(rows: DataFrame, *keys: str) -> DataFrame:
-    """The distinct blockers of all rows of a key, sorted."""
-    return rows.groupBy(*keys).agg(union_sorted(F.col("blockers")).alias("blockers"))
+    """The distinct blockers of all rows of a key, sorted; a key without any has an empty array.
+
+    Codes are made distinct before they are gathered, so an array holds the codes that
+    there are, not one per row.
+    """
+    codes = rows.select(*keys, F.explode_outer("blockers").alias("code")).distinct()
+    return codes.groupBy(*keys).agg(F.array_sort(F.collect_set("code")).alias("blockers"))
+
+
+def support_counts(rows: DataFrame, *keys: str) -> DataFrame:
+    """``support`` over plain rows (subject_missing, rival_missing, detector_only): counts, no arrays."""
+    gone = lambda side: F.coalesce(F.col(f"{side}_missing"), F.lit(False))
+    out = rows.groupBy(*keys).agg(F.when(some(F.col("detector_only")), F.lit("detector-only")).otherwise(F.lit("deterministic-extractor")).alias("support_type"), F.count("*").alias("rows"), count_true(~gone("rival") & ~gone("subject")).alias("comparable_rows"), count_true(~gone("rival")).alias("rival_rows"), count_true(gone("rival")).alias("rival_missing_rows"))
+    return out.withColumn("rival_missing_ratio", rounded(ratio(F.col("rival_missing_rows"), F.col("rows")), 4))
+
+
+def set_scores(items: DataFrame, *keys: str) -> DataFrame:
+    """Recall and precision of two sets given as rows (keys, item, expected: is it in the expected set, else the found one)."""
+    each = items.groupBy(*keys, "item").agg(some(F.col("expected")).alias("e"), some(~F.col("expected")).alias("f"))
+    out = each.groupBy(*keys).agg(count_true(F.col("e")).alias("n_expected"), count_true(F.col("f")).alias("n_found"), count_true(F.col("e") & F.col("f")).alias("n_both"))
+    return out.withColumn("recall", ratio(F.col("n_both"), F.col("n_expected"))).withColumn("precision", ratio(F.col("n_both"), F.col("n_found")))
 
 
 def recall_precision(rows: DataFrame, expected: str, found: str) -> DataFrame:

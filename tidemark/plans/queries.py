@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import numbers as N
 from tidemark.functions import strings as S
-from tidemark.functions.collections import first_entry, flags, json_map, sum_values, union_sorted
+from tidemark.functions.collections import first_entry, flags, json_map, sum_values
 from tidemark.operators import classify, coverage, evidence, explore, graph, joins, paired, scan
 from tidemark.plans.reports import ratio_ends, token_figures
 
@@ -167,13 +167,8 @@ def coverage_bands(spark, sf_dir):
   CASE WHEN count(*) >= 3 AND count(*) FILTER (o_orderstatus <> 'P' AND o_totalprice / 100000 >= 0.9999) >= 3 THEN 'passed' ELSE 'partial' END AS validation_status FROM orders GROUP BY o_custkey""")
 def min_ratio_validation(spark, sf_dir):
     """Orders of a customer as validation rows; at least three must pass."""
-    orders = Tables(spark, sf_dir).orders
-    repo = F.struct((F.col("o_orderstatus") != "P").alias("ok"), (F.col("o_totalprice") / 100000).alias("coverage_ratio"))
-    grouped = orders.groupBy("o_custkey").agg(F.collect_list(repo).alias("repos"))
-    v = F.struct(F.lit(None).cast("int").alias("minimum_repos"), F.lit(None).cast("string").alias("status"), F.col("repos").alias("repos"))
-    cols = coverage.validation_columns(v)
-    out = grouped.withColumns(cols)
-    return out.select("o_custkey", F.col("repo_count").cast("long").alias("repo_count"), F.col("passed_repo_count").cast("long").alias("passed_repo_count"), "min_coverage_ratio", "validation_passed", "validation_status")
+    rows = Tables(spark, sf_dir).orders.select("o_custkey", (F.col("o_orderstatus") != "P").alias("ok"), (F.col("o_totalprice") / 100000).alias("coverage_ratio"))
+    return coverage.validation_rollup(rows, "o_custkey")
 
 
 @query("""SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS first_value, 'k' AS first_key, length(CAST(json_keys(props) AS VARCHAR)) > 2 AS has_keys FROM events WHERE json_extract(props, '$.k') IS NOT NULL""")
@@ -336,8 +331,10 @@ def widest_narrowest(spark, sf_dir):
 @query("""SELECT user_id, CAST(ts AS DATE) AS day, array_to_string(list_sort(list_distinct(list(event_type))), ',') AS kinds, count(*) AS n_rows FROM events GROUP BY user_id, CAST(ts AS DATE)""")
 def distinct_union_arrays(spark, sf_dir):
     """The sorted union of arrays per user and day."""
-    events = Tables(spark, sf_dir).events.select("user_id", F.to_date("ts").alias("day"), F.array("event_type").alias("kinds"))
-    return events.groupBy("user_id", "day").agg(F.array_join(union_sorted(F.col("kinds")), ",").alias("kinds"), F.count("*").alias("n_rows"))
+    events = Tables(spark, sf_dir).events.select("user_id", F.to_date("ts").alias("day"), F.array("event_type").alias("blockers"))
+    kinds = evidence.blockers_by(events, "user_id", "day")
+    counts = events.groupBy("user_id", "day").agg(F.count("*").alias("n_rows"))
+    return counts.join(kinds, ["user_id", "day"]).select("user_id", "day", F.array_join("blockers", ",").alias("kinds"), "n_rows")
 
 
 @query("SELECT source, coalesce(bool_and(n_chars > 100), true) AS every_long, coalesce(bool_or(n_chars > 20000), false) AS some_longest FROM documents GROUP BY source")
@@ -538,9 +535,9 @@ def evidence_pairing(spark, sf_dir):
 SELECT conv_id, round(len(list_intersect(asked, answered)) / len(asked), 6) AS recall, round(len(list_intersect(answered, asked)) / len(answered), 6) AS precision FROM w WHERE len(asked) > 0 AND len(answered) > 0""")
 def set_recall_precision(spark, sf_dir):
     """Recall and precision of two sets of words."""
-    words = lambda role: F.array_distinct(F.flatten(F.collect_list(F.when(F.col("role") == role, F.split("text", " ")))))
-    w = Tables(spark, sf_dir).conversations.groupBy("conv_id").agg(words("user").alias("asked"), words("assistant").alias("answered"))
-    rows = evidence.recall_precision(w.where("size(asked) > 0 AND size(answered) > 0"), "asked", "answered")
+    c = Tables(spark, sf_dir).conversations.where("role IN ('user', 'assistant')")
+    words = c.select("conv_id", F.explode(F.split("text", " ")).alias("item"), (F.col("role") == "user").alias("expected"))
+    rows = evidence.set_scores(words, "conv_id").where("n_expected > 0 AND n_found > 0")
     return rows.select("conv_id", F.round("recall", 6).alias("recall"), F.round("precision", 6).alias("precision"))
 
 
@@ -587,9 +584,10 @@ def first_row_default(spark, sf_dir):
 @query("""SELECT conv_id, array_to_string(list(role ORDER BY turn)[1:3], ',') AS head FROM conversations GROUP BY conv_id""")
 def head_slices(spark, sf_dir):
     """T4, T5: the first elements of an ordered array."""
-    c = Tables(spark, sf_dir).conversations
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
+    first = Tables(spark, sf_dir).conversations.select("conv_id", "turn", "role").withColumn("place", place).where("place <= 3")
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"])
-    return c.groupBy("conv_id").agg(F.array_join(F.slice(ordered, 1, 3), ",").alias("head"))
+    return first.groupBy("conv_id").agg(F.array_join(F.slice(ordered, 1, 3), ",").alias("head"))
 
 
 @query("""SELECT n_name, coalesce(list_position(['JAPAN', 'BRAZIL', 'FRANCE'], n_name), 999) AS rank FROM nation""")
@@ -690,9 +688,5 @@ def readiness_blockers(spark, sf_dir):
 SELECT p_brand, CASE WHEN detected THEN 'detector-only' ELSE 'deterministic-extractor' END AS support_type, n AS n_rows, n - gone AS rival_rows, gone AS rival_missing_rows, round(gone / n, 4) AS rival_missing_ratio FROM l""")
 def support_classes(spark, sf_dir):
     """Support type, query counts and the missing ratio; brands stand for languages."""
-    part = Tables(spark, sf_dir).part
-    q = F.struct((F.col("p_size") < 5).alias("rival_missing"), F.lit(False).alias("subject_missing"))
-    rows = part.groupBy(F.col("p_brand").alias("language")).agg(F.collect_list(q).alias("queries"), F.bool_or(F.col("p_size") == 50).alias("detector_only")).withColumn("file", F.col("language"))
-    none = spark.createDataFrame([], "language string, extractor string, extensions string, position int")
-    out = evidence.support(rows, none, none)
-    return out.select(F.col("language").alias("p_brand"), "support_type", F.col("rows").cast("long").alias("n_rows"), F.col("rival_rows").cast("long").alias("rival_rows"), F.col("rival_missing_rows").cast("long").alias("rival_missing_rows"), "rival_missing_ratio")
+    rows = Tables(spark, sf_dir).part.select("p_brand", (F.col("p_size") < 5).alias("rival_missing"), F.lit(False).alias("subject_missing"), (F.col("p_size") == 50).alias("detector_only"))
+    return evidence.support_counts(rows, "p_brand").select("p_brand", "support_type", F.col("rows").alias("n_rows"), "rival_rows", "rival_missing_rows", "rival_missing_ratio")
