@@ -64,6 +64,9 @@ def test_renderers_and_explorer(reports, tmp_path, spark):
     assert "| Language |" in reports.markdown("precision") and json.loads(reports.json("gap"))["rows"][0]["live_languages"] == 3
     rows = {r.language: r for r in reports.explorer().collect()}
     assert rows["json"].status == "not-comparable" and rows["go"].label == "Go" and rows["ejs"].label == "EJS"
+    audit = reports.final_audit()
+    assert "The matrix report is not present." in audit and "| LIVE_GO_BENCHMARK.json |" in audit
+    assert {(r.family, r.status) for r in reports.coverage_audit().where("support_type = 'detector-only'").collect()} == {("detector-only .ejs", "live benchmark evidence"), ("detector-only .zz", "no live benchmark artifact")}
     sinks.write_json(reports.gap_summary(), str(tmp_path / "gap"))
     assert spark.read.json(str(tmp_path / "gap")).count() == 1
     assert reports.tools().count() == 1 and reports.hero().first().fastest == 1.0
@@ -97,3 +100,21 @@ def test_published_figures(spark):
     assert (p.comparable_rows, p.proven_rows, p.passed) == (181, 143, True)
     assert (c.live_calls, c.live_counted) == (251196, True)
     assert (v.repo_rows, v.passed_repo_rows, v.passed) == (99, 99, True)
+
+
+def test_matrix_and_fixture_sweep(spark, tmp_path):
+    """Inputs whose schema is inferred from their readers."""
+    q = {"symbol": "a", "one_tokens": 1, "two_tokens": 12, "one_ms": 1, "two_ms": 11}
+    tools = {"one": {"ok": True, "seconds": 2, "metrics": {"symbols": 9, "calls": 10, "recv_typed": 4, "cold_seconds": 0.5}}, "two": {"metrics": {"calls": 3}}, "lsp": {"ok": True, "status": "ok"}}
+    (tmp_path / "MATRIX_REPORT.json").write_text(json.dumps([{"language": "go", "repo": "r", "tools": tools, "queries": [q]}, {"language": "c", "repo": "r", "tools": {"one": {"seconds": 3, "metrics": {}}}, "queries": []}]))
+    sweep = {"results": [{"language": "go", "one": {"ok": True}}, {"language": "zz", "category": "x", "one": {"seconds": 1, "metrics": {"symbols": 2}}, "two": {"support": {"support": "detector_only"}}, "fixture_oracle": {"recall": 0.5, "precision": 1, "missing_symbols": ["f"]}}]}
+    (tmp_path / "SUPPORTED_LANGUAGE_BENCHMARK.json").write_text(json.dumps(sweep))
+    (tmp_path / "LIVE_ASTRO_BENCHMARK.json").write_text(json.dumps(artifact("astro")))
+    (tmp_path / "SATURATION_REPORT.json").write_text(json.dumps({"iterations_requested": 3, "languages": [{"language": "go", "saturated": True, "iterations": [{"iteration": 1, "queries": {"token_ratio": 2.0}}]}]}))
+    r = Reports(spark, str(tmp_path))
+    core = {x.language: x for x in r.core().collect()}
+    assert core["go"].index_seconds == 0.5 and core["c"].index_seconds == 3 and list(core["go"].native_tools) == ["lsp"] and core["go"].pass_target
+    assert (r.core_counts().first().groups, r.core_counts().first().token_ratio, r.call_summary().first().core_typed) == (2, 12.0, False)
+    rows = {x.language: (x.tier, x.status) for x in r.explorer(r.supported()).collect()}
+    assert rows == {"go": ("core", "comparable"), "c": ("core", "not-comparable"), "astro": ("live", "comparable"), "zz": ("supported", "not-comparable")}
+    assert r.saturation().first().iterations[0].token_ratio == 2.0

@@ -12,8 +12,8 @@ from tidemark.operators.coverage import gap_summary, live_counts
 from tidemark.operators.explore import union_tiers, with_status
 from tidemark.operators.joins import unseen, upsert
 from tidemark.operators.paired import near_misses, rollup, top_gaps
-from tidemark.sources.artifacts import Sides, core_matrix, discover_sides, live_benchmarks, read_artifacts, saturation
-from tidemark.sources.files import exists, read_json
+from tidemark.sources.artifacts import Sides, core_matrix, coverage_audit, discover_sides, live_benchmarks, oracle_gaps, read_artifacts, saturation, supported_families
+from tidemark.sources.files import exists, provenance, read_json
 from tidemark.sources.sinks import json_document, markdown_summary, markdown_table
 
 
@@ -40,6 +40,16 @@ class Reports:
     def discovery(self, name: str = "LANGUAGE_DISCOVERY.json") -> DataFrame:
         return read_json(self.spark, f"{self.folder}/*{name}", "rows array<array<string>>, detector_only_code_extensions array<string>, dispatch_count int, code_extension_count int")
 
+    def supported(self, name: str = "SUPPORTED_LANGUAGE_BENCHMARK.json") -> DataFrame | None:
+        path = f"{self.folder}/{name}"
+        return supported_families(self.spark, path, self.sides) if exists(self.spark, path) else None
+
+    def provenance(self) -> DataFrame:
+        return provenance(self.spark, self.folder).orderBy("name")
+
+    def coverage_audit(self) -> DataFrame:
+        return coverage_audit(self.discovery(), self.live)
+
     # The gap report.
 
     def gap_summary(self) -> DataFrame:
@@ -124,6 +134,18 @@ class Reports:
         base = manifest if manifest is not None else live.limit(0)
         return upsert(base, live, ["tool"], "position").orderBy(F.collate("tool", "UNICODE"))
 
+    def final_audit(self) -> str:
+        """All summaries and the weak points, as one Markdown document. Missing inputs are named, not guessed."""
+        parts = ["# Final audit\n"]
+        for title, table in (("Counts", self.live_counts()), ("Gap summary", self.gap_summary()), ("Validation", self.validation_gate()), ("Readiness", self.readiness_summary()), ("Sampled evidence", self.precision_summary()), ("Calls", self.call_summary()), ("Support", self.support_summary())):
+            parts.append(f"## {title}\n\n{markdown_summary(table)}")
+        core, supported = self.core_counts(), self.supported()
+        parts.append("## Core matrix\n\n" + ("The matrix report is not present.\n" if core is None else markdown_summary(core)))
+        parts.append("## Supported families\n\n" + ("The fixture sweep is not present.\n" if supported is None else markdown_table(oracle_gaps(supported).select("language", "oracle_recall", "oracle_precision", "missing_symbols", "extra_symbols").limit(80))))
+        for title, table in (("Weak ground truth", self.weak_truth()), ("Evidence gaps", self.precision_gaps().select("language", "status", "proven_rows", "comparable_rows")), ("Near misses", self.near_misses()), ("Low risk without gaps", self.low_risk_without_gaps()), ("Pending code languages", self.pending_code()), ("Inputs", self.provenance())):
+            parts.append(f"## {title}\n\n{markdown_table(table)}")
+        return "\n".join(parts)
+
     # The explorer.
 
     def explorer(self, supported: DataFrame | None = None) -> DataFrame:

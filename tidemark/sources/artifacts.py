@@ -145,3 +145,32 @@ def saturation(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.text(path, wholetext=True).select(F.from_json("value", f"iterations_requested int, languages array<struct<language:string,status:string,iterations_run:int,non_improving_iterations:int,saturated:boolean,note:string,iterations:array<{item}>>>").alias("r"))
     rows = raw.select("r.iterations_requested", F.explode("r.languages").alias("l")).select("iterations_requested", "l.*")
     return rows.withColumn("saturated", F.coalesce("saturated", F.lit(False))).withColumn("iterations", F.transform("iterations", lambda x: F.struct(x["iteration"].alias("iteration"), x["seconds"].alias("seconds"), x["commit"].alias("commit"), x["coverage_ratio"].alias("coverage_ratio"), x["queries"]["equivalent_rows"].alias("comparable_rows"), x["queries"]["token_ratio"].alias("token_ratio"), x["queries"]["latency_ratio"].alias("latency_ratio"), x["artifact"].alias("artifact"))))
+
+
+def supported_families(spark: SparkSession, path: str, sides: Sides) -> DataFrame:
+    """Families of a fixture sweep as flat rows, with recall and precision of its oracle. (The schema is inferred from its readers.)"""
+    s, r = sides.subject, sides.rival
+    item = f"struct<language:string,category:string,fixture_path:string,{s}:struct<status:string,ok:boolean,seconds:double,metrics:struct<symbols:bigint,edges:bigint>>,{r}:struct<status:string,ok:boolean,support:struct<support:string>>,native_baseline:struct<tool:string,status:string,ok:boolean>,fixture_oracle:struct<recall:double,precision:double,missing_symbols:array<string>,extra_symbol_names_sample:array<string>>>"
+    rows = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", f"results array<{item}>")["results"]).alias("x"))
+    own, oracle = f"x.{s}", "x.fixture_oracle"
+    return rows.select(
+        F.col("x.language").alias("language"),
+        F.col("x.category").alias("category"),
+        F.lit("fixture sweep").alias("repo"),
+        F.coalesce(F.nullif(F.col("x.fixture_path"), F.lit("")), F.lit("fixture")).alias("fixture"),
+        F.col(f"{own}.seconds").alias("index_seconds"),
+        F.col(f"{own}.metrics.symbols").alias("symbols"),
+        F.col(f"{own}.metrics.edges").alias("edges"),
+        F.col(f"{own}.metrics.symbols").alias("subject_definitions"),
+        first_filled(F.col("x.native_baseline.tool"), F.col("x.native_baseline.status"), F.lit("fixture oracle")).alias("native_tool"),
+        F.coalesce(F.col(f"x.{r}.support.support") == "detector_only", F.lit(False)).alias("detector_only"),
+        F.col(f"{oracle}.recall").alias("oracle_recall"),
+        F.col(f"{oracle}.precision").alias("oracle_precision"),
+        F.col(f"{oracle}.missing_symbols").alias("missing_symbols"),
+        F.col(f"{oracle}.extra_symbol_names_sample").alias("extra_symbols"),
+    )
+
+
+def oracle_gaps(families: DataFrame) -> DataFrame:
+    """Families with missing or extra symbols."""
+    return families.where((F.coalesce(F.size("missing_symbols"), F.lit(0)) > 0) | (F.coalesce(F.size("extra_symbols"), F.lit(0)) > 0))
