@@ -7,7 +7,7 @@ encoded. Every stage works on all that its predecessor kept, written as Parquet.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.decontamination import decontaminate
@@ -41,9 +41,9 @@ def keep_one_of_near_copies(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     classes = jaccard_components(docs.select("doc_id", "text"))
     stay = classes.where("doc_id = component_id").select("doc_id").distinct()
     chosen = docs.where("doc_id IS NOT NULL").join(stay, "doc_id", "left_semi")
-    first = Window.partitionBy("doc_id").orderBy("text")
-    chosen = chosen.withColumn("__place", F.row_number().over(first)).where("__place = 1")
-    return _columns(chosen, docs).unionByName(docs.where("doc_id IS NULL"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    first = chosen.groupBy("doc_id").agg(F.min_by(row, F.struct("text")).alias("row")).select("row.*")
+    return first.unionByName(docs.where("doc_id IS NULL"))
 
 
 def cut_repeats(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
