@@ -172,4 +172,5 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, text: str = "text"
 def op6_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
     documents, benchmark = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     out = decontaminate(documents.select("doc_id", "text"), benchmark, keep=["doc_id"])
-    return out.select("doc_id", "contaminated", F.col("overlaps.item_id").alias("item_ids"), F.aggregate("overlaps", F.lit(0), lambda a, x: F.greatest(a, x["equal"])).cast("long").alias("max_equal_tokens"))
+    items = F.array_join(F.transform("overlaps", lambda x: x["item_id"].cast("string")), ",")
+    return out.select("doc_id", "contaminated", items.alias("benchmark_items"), F.aggregate("overlaps", F.lit(0), lambda a, x: F.greatest(a, x["equal"])).cast("long").alias("max_equal_tokens"))

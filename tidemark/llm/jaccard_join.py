@@ -61,6 +61,8 @@ GROUP = {2: 3, 3: 3}
 #: above has too few tokens for its prefix (see ``combination_signatures``).
 LEAST_LEVEL = 24
 FLUSH_TOKENS = 4_000_000
+#: Hash ranges, two for each input partition: a range holds about half a partition's n-grams.
+MAX_RANGES = 1 << 18
 _MIXER = np.random.Generator(np.random.PCG64(99)).integers(0, 1 << 63, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 COUNT_SCHEMA = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("block", T.BinaryType())])
@@ -369,7 +371,7 @@ def jaccard_components(documents: DataFrame, text: str = "text", id_col: str = "
     ship_package(spark)
     scratch = Scratch(spark, "jaccard")
     source = documents.select(documents[id_col].cast("long").alias("__id"), documents[text].alias("__text"))
-    parts = min(1 << 16, max(16, 2 * source.rdd.getNumPartitions()))
+    parts = min(MAX_RANGES, max(16, 2 * source.rdd.getNumPartitions()))
 
     classes = frequent_tokens(source, k, parts, scratch, frequent)
     scratch.release()
@@ -377,6 +379,9 @@ def jaccard_components(documents: DataFrame, text: str = "text", id_col: str = "
     sets = scratch.table(rows.where(F.col("kind") == SET).select("doc", "n", "digest", "bits"), "sets")
     linkable = sets.where("n > 0 AND doc IS NOT NULL")
     least = linkable.groupBy("digest").agg(F.min("doc").alias("rep"), F.count("*").alias("rows")).where("rows > 1").select("digest", "rep")
+    # Written, as below, so that both sides of the join are exchanges of their own and the
+    # rows of a very common key can be split.
+    least = scratch.table(least, "least")
     equal = scratch.table(linkable.join(least, "digest", "left").select("doc", F.coalesce("rep", "doc").alias("rep")), "equal")
     copies = equal.where("doc <> rep").select(F.col("rep").alias("u"), F.col("doc").alias("v"))
 
@@ -392,6 +397,7 @@ def jaccard_components(documents: DataFrame, text: str = "text", id_col: str = "
     # that reach less than the smallest such set have no partner under this signature.
     able = F.col("most") >= F.col("n")
     pivots = postings.groupBy("sig").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.min(F.when(able, F.col("n"))).alias("least"), F.min(F.when(able, F.struct((-F.col("most")).alias("order"), "n", "doc", "most"))).alias("pivot")).where("low <> high AND pivot IS NOT NULL").select("sig", "least", "pivot")
+    pivots = scratch.table(pivots, "pivots")
     shared = scratch.table(postings.join(pivots, "sig").where("most >= least").select("sig", "doc", "n", "most", "pivot"), "shared")
     scratch.drop("signatures", "postings")
     scratch.release()
@@ -407,6 +413,7 @@ def jaccard_components(documents: DataFrame, text: str = "text", id_col: str = "
     member = shared.select("sig", "doc", "n", "most").join(classes_1.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     size = member.groupBy("sig", "component").agg(F.count("*").alias("members"))
     main = size.groupBy("sig").agg(F.max_by("component", F.struct("members", "component")).alias("main"), F.count("*").alias("several")).where("several > 1").select("sig", "main")
+    main = scratch.table(main, "main")
     open_ = scratch.table(member.join(main, "sig"), "open")
     outer = open_.where("component <> main").select("sig", F.col("doc").alias("x"), F.col("n").alias("n_a"), F.col("most").alias("most_a"), F.col("component").alias("x_class"))
     inner = open_.select("sig", F.col("doc").alias("y"), F.col("n").alias("n_b"), F.col("most").alias("most_b"), F.col("component").alias("y_class"))

@@ -169,7 +169,10 @@ def repeated_spans(documents: DataFrame, text: str, scratch: Scratch, window: in
 
     found = scratch.table(keyed.mapInArrow(anchors, "gram long, t1 long, t2 long, at int"), "anchors")
     place = F.xxhash64("t1", "t2", "at")
+    # Written, so that both sides of the join are exchanges of their own and the rows of
+    # a very common gram can be split.
     grams = found.select("gram", place.alias("place")).groupBy("gram").agg(F.min("place").alias("low"), F.max("place").alias("high"), F.count("*").alias("n")).where("low <> high").select("gram", (F.col("n") > hot).alias("hot"))
+    grams = scratch.table(grams, "grams")
     wanted = found.join(grams, "gram").groupBy("t1", "t2").agg(F.collect_set(F.struct("at", "hot")).alias("anchors"))
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
