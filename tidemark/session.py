@@ -25,7 +25,7 @@ def ship_package(spark: SparkSession) -> None:
     kilobytes would make tens of megabytes per task; a setting of the user's own stays.
     """
     if spark.conf.get(ARROW_RECORDS) == "10000":
-        spark.conf.set(ARROW_RECORDS, "1000")
+        spark.conf.set(ARROW_RECORDS, "200")
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
