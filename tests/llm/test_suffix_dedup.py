@@ -70,3 +70,9 @@ def test_nulls_clashing_names_and_empty(spark):
     got = sorted((r.n_bytes, r.n_removed, r.t1) for r in S.suffix_array_dedup(df).collect())
     assert got == [(0, 0, "k"), (500, 500, "k"), (500, 500, "k")]
     assert S.suffix_array_dedup(df.limit(0)).count() == 0
+
+
+def test_query_equals_sql(spark, sf_dir, duck):
+    from conftest import rows_equal
+
+    rows_equal(S.op7_suffix_array_dedup(spark, sf_dir), duck.sql(S.OP7_SQL))

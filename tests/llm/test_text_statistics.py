@@ -86,3 +86,27 @@ def test_labelled_junk_goes_and_other_strata_stay(spark, rows):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert Q.quality_rules(df, spark.createDataFrame([], "doc_id long, quality int")).agg(F.count("*")).first()[0] == 0
+
+
+def test_query_equals_sql(spark, sf_dir, duck):
+    from conftest import rows_equal
+
+    rows_equal(Q.op4_quality_rules(spark, sf_dir), duck.sql(Q.op4_sql()))
+
+
+def test_thresholds_equal_sql(spark):
+    """Enough labels for certified cutoffs in one stratum and too few in another."""
+    import duckdb
+    import pandas as pd
+
+    words = [f"w{i}" for i in range(80)]
+    clean = lambda i: " ".join(words[(i * 7 + j * j) % 80] + str(j) for j in range(60))
+    rows = pd.DataFrame([(i, clean(i).replace(" ", "### " if i % 8 else " # ") if i % 4 == 0 else clean(i), "en" if i % 10 else "de") for i in range(4000)], columns=["doc_id", "text", "lang"])
+    labels = pd.DataFrame([(i, 0 if i % 4 == 0 else 1) for i in range(4000)], columns=["doc_id", "quality"])
+    con = duckdb.connect()
+    con.register("documents", rows)
+    con.register("labels", labels)
+    want = sorted(con.sql(f"SELECT doc_id, kept, failed_rule FROM ({Q.op4_sql()})").fetchall())
+    out = Q.quality_rules(spark.createDataFrame(rows), spark.createDataFrame(labels))
+    got = sorted(tuple(r) for r in out.select("doc_id", "kept", "failed_rule").collect())
+    assert got == want and {f for _, _, f in got} == {None, "symbols_per_word"}

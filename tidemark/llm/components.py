@@ -12,10 +12,15 @@ from pyspark.sql import functions as F
 from tidemark.session import Scratch
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Point a node's larger (large) or smaller-or-equal neighbours to its least neighbour."""
+def _star(edges: DataFrame, large: bool, scratch: Scratch, name: str) -> DataFrame:
+    """Point a node's larger (large) or smaller-or-equal neighbours to its least neighbour.
+
+    The least neighbours are written, so that both sides of the join are exchanges of
+    their own and the edges of a node with many neighbours can be split.
+    """
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = scratch.table(least, name)
     joined = both.join(least, "u")
     if large:
         moved = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -33,8 +38,9 @@ def connected_components(edges: DataFrame, scratch: Scratch, label: str = "compo
     step, seen = 0, None
     while True:
         step += 1
-        new = scratch.table(_star(_star(now, True), False), f"{label}-{step}")
-        scratch.drop(f"{label}-{step - 1}")
+        star = scratch.table(_star(now, True, scratch, f"{label}-least-1"), f"{label}-star")
+        new = scratch.table(_star(star, False, scratch, f"{label}-least-2"), f"{label}-{step}")
+        scratch.drop(f"{label}-{step - 1}", f"{label}-star", f"{label}-least-1", f"{label}-least-2")
         state = tuple(new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         now = new
         if state == seen or not state[0]:

@@ -201,3 +201,34 @@ def op4_quality_rules(spark, sf_dir: str) -> DataFrame:
     documents, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     out = quality_rules(documents.select("doc_id", "lang", "text"), labels, drop_text=True)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_rule")
+
+
+def op4_sql(max_false_rejection: float = 0.02, level: float = 0.05) -> str:
+    """The same rows by SQL: statistics, exact binomial tests, cutoffs and verdicts."""
+    ratio = {"symbols_per_word": "n_symbols / greatest(n_words, 1)", "dup_line_share": "n_dup_lines / greatest(n_lines, 1)", "repeat_word_share": "n_repeat_words / greatest(n_words, 1)", "long_words": "word_chars / greatest(n_words, 1)", "short_words": "CASE WHEN n_words > 0 THEN greatest(20.0::DOUBLE - word_chars / greatest(n_words, 1), 0.0::DOUBLE) ELSE 0.0::DOUBLE END"}
+    bins = ", ".join(f"CAST(least(floor(({ratio[r]}) / {w}::DOUBLE + 1e-9::DOUBLE), {BINS}) AS INTEGER) AS {r}" for r, w in RULES.items())
+    long = " UNION ALL ".join(f"SELECT stratum, quality, {i} AS rule, {r} AS bin FROM labelled" for i, r in enumerate(RULES))
+    failed = " ".join(f"WHEN {r} >= (SELECT cutoff FROM chosen c WHERE c.rule = {i} AND c.stratum = b.stratum) THEN '{r}'" for i, r in enumerate(RULES))
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS text FROM documents),
+split AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+grams AS (SELECT r, p, w[p] || ' ' || w[p + 1] || ' ' || w[p + 2] AS g FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS p FROM split WHERE len(w) >= 3)),
+twice AS (SELECT r, p FROM grams QUALIFY count(*) OVER (PARTITION BY r, g) > 1),
+covered AS (SELECT r, count(DISTINCT p + o) AS n FROM twice, (VALUES (0), (1), (2)) x(o) GROUP BY r),
+stats AS (SELECT split.r, doc_id, stratum, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+  CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, len(lines) AS n_lines, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words
+  FROM split LEFT JOIN covered USING (r)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, {bins} FROM stats),
+marks AS (SELECT doc_id, min(quality) AS quality FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
+labelled AS (SELECT b.*, quality FROM b JOIN marks USING (doc_id) WHERE NOT base_failed),
+counted AS (SELECT stratum, rule, bin, count(*) FILTER (quality >= 1) AS good, count(*) FILTER (quality < 1) AS bad FROM ({long}) GROUP BY ALL),
+totals AS (SELECT stratum, rule, sum(good) AS n FROM counted GROUP BY ALL),
+cuts AS (SELECT t.stratum, t.rule, t.n, c.cutoff, coalesce(sum(good), 0) AS k, coalesce(sum(bad), 0) AS bad FROM totals t CROSS JOIN (SELECT unnest(range(1, {BINS + 1})) AS cutoff) c LEFT JOIN counted x ON x.stratum = t.stratum AND x.rule = t.rule AND x.bin >= c.cutoff GROUP BY ALL),
+near AS (SELECT * FROM cuts WHERE k < n * {max_false_rejection / len(RULES)}::DOUBLE),
+cdf AS (SELECT stratum, rule, cutoff, sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({max_false_rejection / len(RULES)}::DOUBLE) + (n - i) * ln(1 - {max_false_rejection / len(RULES)}::DOUBLE))) AS p FROM (SELECT *, unnest(range(0, CAST(k AS BIGINT) + 1)) AS i FROM near) GROUP BY ALL),
+ok AS (SELECT stratum, rule, cutoff FROM cdf WHERE p <= {level}::DOUBLE / ((SELECT count(DISTINCT stratum) FROM counted) * {len(RULES)})),
+stop AS (SELECT stratum, rule, coalesce(max(cutoff) FILTER (cutoff NOT IN (SELECT cutoff FROM ok WHERE ok.stratum = cuts.stratum AND ok.rule = cuts.rule)), 0) AS last FROM cuts GROUP BY ALL),
+chosen AS (SELECT stratum, rule, arg_max(cutoff, (bad, cutoff)) AS cutoff FROM cuts JOIN stop USING (stratum, rule) WHERE cutoff > last AND bad > 0 GROUP BY ALL),
+judged AS (SELECT *, CASE {failed} END AS failed_rule FROM b)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND failed_rule IS NULL AS kept, failed_rule FROM judged
+"""

@@ -4,10 +4,10 @@ from tidemark.llm.decontamination import op6_benchmark_decontamination
 from tidemark.llm.html_extraction import op10_html_extraction
 from tidemark.llm.jaccard_join import OP2_SQL, op2_ngram_jaccard_join
 from tidemark.llm.license_scan import op3_license_scan, op3_sql
-from tidemark.llm.quality_rules import op4_quality_rules
+from tidemark.llm.quality_rules import op4_quality_rules, op4_sql
 from tidemark.llm.sentencepiece_bpe import op9_sentencepiece
 from tidemark.llm.sharding import op8_sharding
-from tidemark.llm.suffix_dedup import op7_suffix_array_dedup
+from tidemark.llm.suffix_dedup import OP7_SQL, op7_suffix_array_dedup
 from tidemark.llm.toxicity import op5_toxicity
 from tidemark.llm.url_filters import op1_url_filters
 
@@ -24,4 +24,4 @@ QUERIES = {
     "op10_html_extraction": op10_html_extraction,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_ngram_jaccard_join": OP2_SQL, "op3_license_scan": op3_sql()}
+ORACLE_SQL: dict[str, str] = {"op2_ngram_jaccard_join": OP2_SQL, "op3_license_scan": op3_sql(), "op4_quality_rules": op4_sql(), "op7_suffix_array_dedup": OP7_SQL}

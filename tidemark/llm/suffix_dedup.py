@@ -34,7 +34,7 @@ WINDOW = 400
 GRAM = 48
 #: Anchors of one gram that are sorted in one task; beyond, windows are counted by digest.
 HOT = 20_000
-BUCKET = 8_000
+BUCKET = 2_000
 
 
 def window_anchors(data: np.ndarray, offsets: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
@@ -298,3 +298,15 @@ def suffix_array_dedup(documents: DataFrame, text: str = "text", window: int = W
 def op7_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return suffix_array_dedup(documents, keep=["doc_id"])
+
+
+OP7_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n FROM documents),
+windows AS (SELECT r, i, md5_number(substr(h, 2 * i + 1, {2 * WINDOW})) AS m FROM (SELECT r, h, unnest(range(0, n - {WINDOW - 1})) AS i FROM d WHERE n >= {WINDOW})),
+again AS (SELECT r, i FROM windows QUALIFY count(*) OVER (PARTITION BY m) > 1),
+marked AS (SELECT r, i, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= {WINDOW} THEN 0 ELSE 1 END AS new FROM again),
+runs AS (SELECT r, min(i) AS s, max(i) + {WINDOW} AS e FROM (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS g FROM marked) GROUP BY r, g),
+gaps AS (SELECT r, s, e, coalesce(lag(e) OVER (PARTITION BY r ORDER BY s), 0) AS after FROM runs),
+cut AS (SELECT r, count(*) AS n_spans, CAST(sum(e - s) AS BIGINT) AS n_removed, string_agg(substr(h, 2 * after + 1, 2 * (s - after)), '' ORDER BY s) || substr(any_value(h), 2 * max(e) + 1) AS kept FROM gaps JOIN d USING (r) GROUP BY r)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM d LEFT JOIN cut USING (r)
+"""
