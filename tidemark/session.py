@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 _SHIPPED: set[str] = set()
 
 
-ARROW_RECORDS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Settings of Arrow batches, with Spark's defaults and what suits whole texts.
+ARROW_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "4m")}
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -21,11 +22,12 @@ def ship_package(spark: SparkSession) -> None:
 
     Executors need not have the repository on their path: a zip of the package
     goes through ``addPyFile``, which every executor fetches from the driver. Arrow
-    batches of whole texts get fewer rows than Spark's default, which a text of some
-    kilobytes would make tens of megabytes per task; a setting of the user's own stays.
+    batches of whole texts get fewer rows and bytes than by Spark's defaults, which make
+    tens of megabytes per task and copy; a setting of the user's own stays.
     """
-    if spark.conf.get(ARROW_RECORDS) == "10000":
-        spark.conf.set(ARROW_RECORDS, "200")
+    for name, (default, wanted) in ARROW_BATCHES.items():
+        if spark.conf.get(name, None) == default:
+            spark.conf.set(name, wanted)
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
