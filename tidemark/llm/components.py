@@ -29,22 +29,25 @@ def _star(edges: DataFrame, large: bool, scratch: Scratch, name: str) -> DataFra
     return moved.where("u <> v").distinct()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Are the edges stars, each node pointing to one root that points nowhere?"""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")).union(edges.select("v", F.lit(0), F.lit(1)))
+    per_node = ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("into").alias("into"))
+    return per_node.where("out > 1 OR (out = 1 AND into = 1)").isEmpty()
+
+
 def connected_components(edges: DataFrame, scratch: Scratch, label: str = "components") -> DataFrame:
     """(node, component) of every node of edges (u, v): the least node that it reaches.
 
     Nulls, self-loops and repeated edges are ignored; isolated nodes are not listed.
     """
-    now = scratch.table(edges.where("u IS NOT NULL AND v IS NOT NULL AND u <> v").select(F.col("u").cast("long"), F.col("v").cast("long")).distinct(), f"{label}-0")
-    step, seen = 0, None
-    while True:
+    u, v = F.col("u").cast("long"), F.col("v").cast("long")
+    now = scratch.table(edges.where("u IS NOT NULL AND v IS NOT NULL AND u <> v").select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct(), f"{label}-0")
+    step = 0
+    while not _settled(now):
         step += 1
         star = scratch.table(_star(now, True, scratch, f"{label}-least-1"), f"{label}-star")
         new = scratch.table(_star(star, False, scratch, f"{label}-least-2"), f"{label}-{step}")
         scratch.drop(f"{label}-{step - 1}", f"{label}-star", f"{label}-least-1", f"{label}-least-2")
-        state = tuple(new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         now = new
-        if state == seen or not state[0]:
-            break
-        seen = state
-    # At the fixed point every node points to the least of its component.
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
