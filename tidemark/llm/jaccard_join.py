@@ -379,10 +379,7 @@ def jaccard_components(documents: DataFrame, text: str = "text", id_col: str = "
     sets = scratch.table(rows.where(F.col("kind") == SET).select("doc", "n", "digest", "bits"), "sets")
     linkable = sets.where("n > 0 AND doc IS NOT NULL")
     least = linkable.groupBy("digest").agg(F.min("doc").alias("rep"), F.count("*").alias("rows")).where("rows > 1").select("digest", "rep")
-    # Written, as below, so that both sides of the join are exchanges of their own and the
-    # rows of a very common key can be split.
-    least = scratch.table(least, "least")
-    equal = scratch.table(linkable.join(least, "digest", "left").select("doc", F.coalesce("rep", "doc").alias("rep")), "equal")
+    equal = linkable.join(least, "digest", "left").select("doc", F.coalesce("rep", "doc").alias("rep"))
     copies = equal.where("doc <> rep").select(F.col("rep").alias("u"), F.col("doc").alias("v"))
 
     singles = rows.where(F.col("kind") == SINGLE).select("part", "block").groupBy("part").applyInPandas(_shared_singles, "sig long, doc long, n int")
@@ -397,32 +394,25 @@ def jaccard_components(documents: DataFrame, text: str = "text", id_col: str = "
     # that reach less than the smallest such set have no partner under this signature.
     able = F.col("most") >= F.col("n")
     pivots = postings.groupBy("sig").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.min(F.when(able, F.col("n"))).alias("least"), F.min(F.when(able, F.struct((-F.col("most")).alias("order"), "n", "doc", "most"))).alias("pivot")).where("low <> high AND pivot IS NOT NULL").select("sig", "least", "pivot")
-    pivots = scratch.table(pivots, "pivots")
     shared = scratch.table(postings.join(pivots, "sig").where("most >= least").select("sig", "doc", "n", "most", "pivot"), "shared")
     scratch.drop("signatures", "postings")
     scratch.release()
 
     star = shared.where("doc <> pivot.doc").select(F.col("pivot.doc").alias("p"), F.col("doc").alias("d"), F.col("pivot.n").alias("n_a"), F.col("n").alias("n_b"), F.col("pivot.most").alias("most_a"), F.col("most").alias("most_b")).where(_fitting(threshold)).select(F.least("p", "d").alias("a"), F.greatest("p", "d").alias("b")).distinct()
-    star = scratch.table(star, "star")
-    likely = scratch.table(plausible(star, sets, threshold), "likely-1")
-    links = scratch.table(verified(likely, source, k, threshold), "links-1")
+    links = scratch.table(verified(plausible(star, sets, threshold), source, k, threshold), "links-1")
     scratch.release()
-    classes_1 = scratch.table(connected_components(links, scratch, "round-1"), "classes-1")
+    classes_1 = connected_components(links, scratch, "round-1")
 
     # Signatures with members of several classes: those outside the largest class against all.
     member = shared.select("sig", "doc", "n", "most").join(classes_1.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     size = member.groupBy("sig", "component").agg(F.count("*").alias("members"))
     main = size.groupBy("sig").agg(F.max_by("component", F.struct("members", "component")).alias("main"), F.count("*").alias("several")).where("several > 1").select("sig", "main")
-    main = scratch.table(main, "main")
     open_ = scratch.table(member.join(main, "sig"), "open")
     outer = open_.where("component <> main").select("sig", F.col("doc").alias("x"), F.col("n").alias("n_a"), F.col("most").alias("most_a"), F.col("component").alias("x_class"))
     inner = open_.select("sig", F.col("doc").alias("y"), F.col("n").alias("n_b"), F.col("most").alias("most_b"), F.col("component").alias("y_class"))
     crossed = outer.join(inner, "sig").where((F.col("x_class") != F.col("y_class")) & _fitting(threshold)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    crossed = scratch.table(crossed.join(star, ["a", "b"], "left_anti"), "crossed")
-    likely = scratch.table(plausible(crossed, sets, threshold), "likely-2")
-    scratch.drop("shared", "open", "star", "crossed", "likely-1")
-    scratch.release()
-    more = scratch.table(verified(likely, source, k, threshold), "links-2")
+    more = scratch.table(verified(plausible(crossed, sets, threshold), source, k, threshold), "links-2")
+    scratch.drop("shared", "open")
     scratch.release()
     final = connected_components(links.unionByName(more).unionByName(copies), scratch, "round-2").withColumnRenamed("node", "doc")
     found = sets.where("doc IS NOT NULL").join(final, "doc", "left").select("doc", "n", F.coalesce("component", "doc").alias("component"))
