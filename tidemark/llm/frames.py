@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,6 +14,23 @@ from tidemark.llm.text import slices
 from tidemark.session import ship_package
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system, so that an idle Python worker stays small."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not a glibc system
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, releasing memory after the last batch of a partition."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release_memory()
+
+    return wrapped
+
+
 def require(df: DataFrame, *names: str) -> None:
     missing = [n for n in names if n not in df.columns]
     if missing:
@@ -38,4 +57,4 @@ def with_text_columns(df: DataFrame, text: str, fn: Callable[[pa.RecordBatch], d
                 made = fn(part)
                 yield pa.RecordBatch.from_arrays([part.column(i) for i in range(len(carried))] + [made[n] for n in new], names=carried + new)
 
-    return inner.mapInArrow(run, schema)
+    return inner.mapInArrow(tidy(run), schema)

@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm.components import connected_components
-from tidemark.llm.frames import require
+from tidemark.llm.frames import release_memory, require, tidy
 from tidemark.llm.text import buffers, lower, mix, shingle_sets, slices
 from tidemark.session import Scratch, ship_package
 
@@ -60,7 +60,7 @@ GROUP = {2: 3, 3: 3}
 #: Below this size level tokens of all classes are indexed singly: no set of a level
 #: above has too few tokens for its prefix (see ``combination_signatures``).
 LEAST_LEVEL = 24
-FLUSH_TOKENS = 4_000_000
+FLUSH_TOKENS = 2_000_000
 #: Hash ranges, two for each input partition: a range holds about half a partition's n-grams.
 MAX_RANGES = 1 << 18
 _MIXER = np.random.Generator(np.random.PCG64(99)).integers(0, 1 << 63, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -174,7 +174,7 @@ def plausible(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
             ok = pa.array(apart * (100 + threshold) <= (100 - threshold) * total)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["a", "b"])
 
-    return both.mapInArrow(run, "a long, b long").distinct()
+    return both.mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
@@ -221,10 +221,11 @@ def frequent_tokens(source: DataFrame, k: int, parts: int, scratch: Scratch, fre
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
         values, n = np.unique(np.concatenate([np.cumsum(unpack(b), dtype=np.uint32) for b in pdf["block"]]), return_counts=True)
         often = n >= frequent
+        release_memory()
         # The first row holds the number of all tokens.
         return pd.DataFrame({"token": np.concatenate([[-1], values[often].astype(np.int64)]), "n": np.concatenate([[n.sum()], n[often]]).astype(np.int64)})
 
-    counted = scratch.table(source.mapInArrow(blocks, COUNT_SCHEMA).groupBy("part").applyInPandas(count, "token long, n long"), "frequent")
+    counted = scratch.table(source.mapInArrow(tidy(blocks), COUNT_SCHEMA).groupBy("part").applyInPandas(count, "token long, n long"), "frequent")
     total = counted.where("token < 0").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     least = max(frequent, -(-total // MAX_FREQUENT))
     rows = counted.where((F.col("token") >= 0) & (F.col("n") >= least)).toPandas()
@@ -299,7 +300,7 @@ def signatures(source: DataFrame, k: int, threshold: int, classes: dict[int, np.
         if size:
             yield flush()
 
-    return source.mapInArrow(run, SIGNATURE_SCHEMA)
+    return source.mapInArrow(tidy(run), SIGNATURE_SCHEMA)
 
 
 def _shared_singles(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -318,6 +319,7 @@ def _shared_singles(pdf: pd.DataFrame) -> pd.DataFrame:
     same = np.zeros(len(sig) + 1, bool)
     same[1:-1] = sig[1:] == sig[:-1]
     keep = same[1:] | same[:-1]
+    release_memory()
     return pd.DataFrame({"sig": sig[keep].view(np.int64), "doc": doc[keep], "n": n[keep]})
 
 
@@ -347,7 +349,7 @@ def verified(pairs: DataFrame, source: DataFrame, k: int, threshold: int) -> Dat
                 if linked.any():
                     yield pa.RecordBatch.from_arrays([pa.array(a[linked]), pa.array(b[linked])], names=["u", "v"])
 
-    return both.mapInArrow(run, "u long, v long")
+    return both.mapInArrow(tidy(run), "u long, v long")
 
 
 def _fitting(threshold: int) -> object:
@@ -399,7 +401,9 @@ def jaccard_components(documents: DataFrame, text: str = "text", id_col: str = "
     scratch.release()
 
     star = shared.where("doc <> pivot.doc").select(F.col("pivot.doc").alias("p"), F.col("doc").alias("d"), F.col("pivot.n").alias("n_a"), F.col("n").alias("n_b"), F.col("pivot.most").alias("most_a"), F.col("most").alias("most_b")).where(_fitting(threshold)).select(F.least("p", "d").alias("a"), F.greatest("p", "d").alias("b")).distinct()
-    links = scratch.table(verified(plausible(star, sets, threshold), source, k, threshold), "links-1")
+    likely = scratch.table(plausible(star, sets, threshold), "likely-1")
+    scratch.release()
+    links = scratch.table(verified(likely, source, k, threshold), "links-1")
     scratch.release()
     classes_1 = connected_components(links, scratch, "round-1")
 
@@ -411,8 +415,10 @@ def jaccard_components(documents: DataFrame, text: str = "text", id_col: str = "
     outer = open_.where("component <> main").select("sig", F.col("doc").alias("x"), F.col("n").alias("n_a"), F.col("most").alias("most_a"), F.col("component").alias("x_class"))
     inner = open_.select("sig", F.col("doc").alias("y"), F.col("n").alias("n_b"), F.col("most").alias("most_b"), F.col("component").alias("y_class"))
     crossed = outer.join(inner, "sig").where((F.col("x_class") != F.col("y_class")) & _fitting(threshold)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    more = scratch.table(verified(plausible(crossed, sets, threshold), source, k, threshold), "links-2")
-    scratch.drop("shared", "open")
+    likely = scratch.table(plausible(crossed, sets, threshold), "likely-2")
+    scratch.drop("shared", "open", "likely-1")
+    scratch.release()
+    more = scratch.table(verified(likely, source, k, threshold), "links-2")
     scratch.release()
     final = connected_components(links.unionByName(more).unionByName(copies), scratch, "round-2").withColumnRenamed("node", "doc")
     found = sets.where("doc IS NOT NULL").join(final, "doc", "left").select("doc", "n", F.coalesce("component", "doc").alias("component"))

@@ -28,7 +28,7 @@ from tidemark.llm.frames import require, with_text_columns
 
 SPACE = "▁"
 HEAP_LENGTH = 256
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 CACHE_CHARS = 48
 NONE = np.iinfo(np.int64).max
 _coders: dict[str, Coder] = {}
@@ -75,7 +75,6 @@ class Coder:
         self.keys = np.append(np.array(keys, np.int64)[order], NONE)
         self.ranks = np.append(np.array(ranks, np.int64)[order], NONE)
         self.results = np.append(np.array(results, np.int64)[order], 0)
-        self.merge_of = {k: (r, x) for k, r, x in zip(keys, ranks, results, strict=True)}
         self.unsafe = np.zeros(self.base, bool)
         for p, r in rank.items():
             for k in range(1, len(p)):
@@ -173,6 +172,12 @@ class Coder:
         group = np.cumsum(lead) - 1
         return np.bincount(group, unsafe)[group] > 0 if len(group) else unsafe
 
+    def merge_of(self, a: int, b: int) -> tuple[int, int] | None:
+        """Rank and result of a pair of symbols."""
+        key = a * self.size + b
+        at = int(np.searchsorted(self.keys, key))
+        return (int(self.ranks[at]), int(self.results[at])) if self.keys[at] == key else None
+
     def heap_merge(self, symbols: list[int]) -> list[int]:
         """The same merges one by one with a heap, for very long segments."""
         n, s = len(symbols), list(symbols)
@@ -181,7 +186,7 @@ class Coder:
 
         def push(i: int) -> None:
             j = right[i]
-            if i >= 0 and j >= 0 and (m := self.merge_of.get(s[i] * self.size + s[j])):
+            if i >= 0 and j >= 0 and (m := self.merge_of(s[i], s[j])):
                 heapq.heappush(heap, (m[0], i, s[i], s[j]))
 
         for i in range(n - 1):
@@ -191,7 +196,7 @@ class Coder:
             j = right[i]
             if s[i] != a or j < 0 or s[j] != b:
                 continue
-            s[i], s[j] = self.merge_of[a * self.size + b][1], -1
+            s[i], s[j] = self.merge_of(a, b)[1], -1
             right[i] = right[j]
             if right[i] >= 0:
                 left[right[i]] = i

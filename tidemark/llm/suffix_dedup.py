@@ -25,7 +25,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.frames import require
+from tidemark.llm.frames import release_memory, require, tidy
 from tidemark.llm.suffix_sort import deep_shallow_sort
 from tidemark.llm.text import buffers, prefix_hash, slices, span_hash
 from tidemark.session import Scratch, ship_package
@@ -167,7 +167,7 @@ def repeated_spans(documents: DataFrame, text: str, scratch: Scratch, window: in
                 row, at, value, _, _ = window_anchors(*buffers(column), window, gram)
                 yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(t1[first][row]), pa.array(t2[first][row]), pa.array(at.astype(np.int32))], names=["gram", "t1", "t2", "at"])
 
-    found = scratch.table(keyed.mapInArrow(anchors, "gram long, t1 long, t2 long, at int"), "anchors")
+    found = scratch.table(keyed.mapInArrow(tidy(anchors), "gram long, t1 long, t2 long, at int"), "anchors")
     place = F.xxhash64("t1", "t2", "at")
     # Written, so that both sides of the join are exchanges of their own and the rows of
     # a very common gram can be split.
@@ -189,7 +189,7 @@ def repeated_spans(documents: DataFrame, text: str, scratch: Scratch, window: in
                     rows.append(i)
             yield batch.take(pa.array(rows, pa.int64())) if len(rows) < len(keys) else batch
 
-    texts = keyed.mapInArrow(once, keyed.schema).join(wanted, ["t1", "t2"]).dropDuplicates(["t1", "t2"])
+    texts = keyed.mapInArrow(tidy(once), keyed.schema).join(wanted, ["t1", "t2"]).dropDuplicates(["t1", "t2"])
     texts = scratch.table(texts, "texts")
     scratch.drop("anchors")
     scratch.release()
@@ -215,7 +215,7 @@ def repeated_spans(documents: DataFrame, text: str, scratch: Scratch, window: in
                 t1, t2 = part.column(0).to_numpy()[row], part.column(1).to_numpy()[row]
                 yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(t1), pa.array(t2), pa.array(at.astype(np.int32)), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(hot_rows.astype(bool)), pa.array(pieces, pa.binary())], names=["gram", "t1", "t2", "at", "first", "last", "hot", "context"])
 
-    sent = texts.mapInArrow(contexts, "gram long, t1 long, t2 long, at int, first int, last int, hot boolean, context binary")
+    sent = texts.mapInArrow(tidy(contexts), "gram long, t1 long, t2 long, at int, first int, last int, hot boolean, context binary")
     total = texts.agg(F.coalesce(F.sum(F.size("anchors")), F.lit(0)), F.coalesce(F.max(F.exists("anchors", lambda x: x["hot"])), F.lit(False))).first()
     buckets = max(1, -(-total[0] // BUCKET))
 
@@ -223,6 +223,7 @@ def repeated_spans(documents: DataFrame, text: str, scratch: Scratch, window: in
         _, group = np.unique(pdf["gram"].to_numpy(), return_inverse=True)
         at, first, last = (pdf[c].to_numpy().astype(np.int64) for c in ("at", "first", "last"))
         who, frm, to = repeated_windows(group, list(pdf["context"]), at - first, at - last, window, gram)
+        release_memory()
         return pd.DataFrame({"t1": pdf["t1"].to_numpy()[who], "t2": pdf["t2"].to_numpy()[who], "start": (at[who] - to).astype(np.int32), "end": (at[who] - frm + window).astype(np.int32)})
 
     spans = sent.where("NOT hot").withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(buckets))).groupBy("bucket").applyInPandas(sort_bucket, "t1 long, t2 long, start int, end int")
@@ -234,7 +235,7 @@ def repeated_spans(documents: DataFrame, text: str, scratch: Scratch, window: in
                     starts = range(len(context) - window + 1)
                     yield pa.RecordBatch.from_arrays([pa.array([hashlib.blake2b(context[i : i + window], digest_size=16).digest() for i in starts], pa.binary()), pa.array([t1] * len(starts)), pa.array([t2] * len(starts)), pa.array([first + i for i in starts], pa.int32())], names=["digest", "t1", "t2", "start"])
 
-        windows = scratch.table(sent.where("hot").mapInArrow(digests, "digest binary, t1 long, t2 long, start int"), "windows")
+        windows = scratch.table(sent.where("hot").mapInArrow(tidy(digests), "digest binary, t1 long, t2 long, start int"), "windows")
         several = windows.select("digest", F.xxhash64("t1", "t2", "start").alias("place")).groupBy("digest").agg(F.min("place").alias("low"), F.max("place").alias("high")).where("low <> high").select("digest")
         spans = spans.union(windows.join(several, "digest", "left_semi").select("t1", "t2", "start", (F.col("start") + window).alias("end")))
     return texts.select("t1", "t2", "__text"), spans
@@ -277,7 +278,7 @@ def suffix_array_dedup(documents: DataFrame, text: str = "text", window: int = W
                         c.append(x)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=False)]], names=[f.split()[0] for f in fields.split(", ")])
 
-    done = scratch.table(texts.join(per_text, ["t1", "t2"]).select("t1", "t2", "__text", "spans").mapInArrow(cut, fields), "done")
+    done = scratch.table(texts.join(per_text, ["t1", "t2"]).select("t1", "t2", "__text", "spans").mapInArrow(tidy(cut), fields), "done")
     scratch.drop("texts")
     scratch.release()
 
