@@ -417,9 +417,9 @@ def lag_band(spark, sf_dir):
 
 @query("""SELECT conv_id, turn, lpad(CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS VARCHAR), 2, '0') AS place FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) < 100""")
 def running_index_pad(spark, sf_dir):
-    """A padded running index of the turns of a conversation (two digits are the feature)."""
+    """A running index of the turns of a conversation, padded to two digits at least."""
     place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
-    rows = Tables(spark, sf_dir).conversations.withColumn("n", place).where("n < 100")
+    rows = Tables(spark, sf_dir).conversations.withColumn("n", place)
     return rows.select("conv_id", "turn", S.padded_index(F.col("n") - 1).alias("place"))
 
 
