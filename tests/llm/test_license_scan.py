@@ -25,3 +25,19 @@ def test_no_known_texts(spark):
     df = spark.createDataFrame([(1, "Released under the MIT License.")], "doc_id long, text string")
     r = L.license_scan(df, known=[]).first()
     assert r.license_id is None and r.line_licenses == []
+
+
+def test_lines_equal_sql_for_unwrapped_texts_and_rules(spark, tmp_path):
+    """Whole texts unwrapped on one line, and notices on lines of many rules and blanks, as the SQL finds them."""
+    import duckdb
+
+    whole = {n: " ".join(t.split()) for n, t in L.KNOWN if "\n" in t}
+    rule = "*" * 400 + " Released under the MIT License. " + " " * 400
+    texts = [*[f"Some words first.\n{t}\nMore words." for t in whole.values()], f"a\n{rule}\nb", rule, whole["ISC"], "x\nThis Source Code Form is subject to the terms of the Mozilla Public License, v 2.0\n", "x\ny", "\n", "", None]
+    path = f"{tmp_path}/documents.parquet"
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(path)
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{path}/*.parquet'")
+    got = L.op3_license_scan(spark, str(tmp_path))
+    rows_equal(got, con.sql(L.op3_sql()))
+    assert [r.line_licenses for r in got.orderBy("doc_id").collect()] == ["MIT", "ISC", "0BSD", "MIT", "MIT", "ISC", "MPL-2.0", "", "", "", ""]

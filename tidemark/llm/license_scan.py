@@ -46,6 +46,9 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _COPYRIGHT = r"(?m)^[ \t#*/;-]*(copyright[ \t]+(\(c\)|©|[0-9]|by )|\(c\)[ \t]|©|all rights reserved)[^\n]*$"
 _PUNCTUATION = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F ‘’“”–—…]+"
 
+#: So many words of known texts are searched for before a line is brought to its form.
+MAX_WORDS = 64
+
 
 def canonical_text(text: str) -> str:
     """The canonical form of one text, as the expressions below make it."""
@@ -81,6 +84,25 @@ def known_digests(known: list[tuple[str, str]]) -> dict[str, str]:
     return out
 
 
+def needed_words(forms: set[str]) -> str:
+    """A pattern that is in every line with one of these forms: a long word of each, in all its spellings.
+
+    Empty if a form has no such word (all may stem from several words or one letter) or
+    if there are too many.
+    """
+    sources: dict[str, set[str]] = {}
+    for a, b in SPELLINGS:
+        sources.setdefault(b, {b}).add(a)
+    found: set[str] = set()
+    for form in forms:
+        words = [sources.get(w, {w}) for w in form.split(" ")]
+        words = [w for w in words if all(len(x) > 1 and x.isascii() and x.isalnum() for x in w)]
+        if not words:
+            return ""
+        found |= max(words, key=lambda w: (min(map(len, w)), sorted(w)))
+    return "(?i)(" + "|".join(sorted(found)) + ")" if len(found) <= MAX_WORDS else ""
+
+
 def license_scan(documents: DataFrame, text: str = "text", known: list[tuple[str, str]] = KNOWN, keep: list[str] | None = None) -> DataFrame:
     """documents (all columns and rows, or those in keep) with license_digest, license_id and line_licenses.
 
@@ -94,18 +116,21 @@ def license_scan(documents: DataFrame, text: str = "text", known: list[tuple[str
     new = ["license_digest", "license_id", "line_licenses"]
     names = [c for c in dict.fromkeys(keep if keep is not None else documents.columns) if c not in new]
     digests = known_digests(known)
-    single = {d: n for n, t in known if "\n" not in t for d in [digest(t)] if d in digests}
     spark = documents.sparkSession
     source = documents.select(*[documents[c] for c in names], documents[text].alias("__text"))
     form = canonical(F.col("__text"))
     marked = source.withColumn("__form", form).withColumn("license_digest", F.when(F.col("__form") != "", F.sha2("__form", 256)))
-    if single:
-        # A line is worth hashing only if its form is as long as a known one's; a line
-        # has at least as many characters as its form, less what spellings add.
-        lengths = sorted({len(canonical_text(t)) for _, t in known if "\n" not in t})
-        lookup = F.create_map(*[F.lit(x) for d, n in sorted(single.items()) for x in (d, n)])
-        lines = F.filter(F.split(F.coalesce("__text", F.lit("")), "\n"), lambda x: F.length(x).between(min(lengths) // 2, 4 * max(lengths)))
-        forms = F.filter(F.transform(lines, canonical), lambda x: F.length(x).isin(lengths))
+    if digests:
+        # No bound on a line's length: punctuation, blanks and copyright marks leave no
+        # trace in its form. A text of one line has its form already.
+        forms_known = {canonical_text(t) for _, t in known} - {""}
+        lengths, words = sorted({len(f) for f in forms_known}), needed_words(forms_known)
+        lookup = F.create_map(*[F.lit(x) for d, n in sorted(digests.items()) for x in (d, n)])
+        lines = F.array_distinct(F.split(F.coalesce("__text", F.lit("")), "\n"))
+        if words:
+            lines = F.filter(lines, lambda x: x.rlike(words))
+        every = F.when(F.contains("__text", F.lit("\n")), F.transform(lines, canonical)).otherwise(F.array("__form"))
+        forms = F.filter(every, lambda x: F.length(x).isin(lengths))
         found = F.array_sort(F.array_distinct(F.filter(F.transform(forms, lambda x: F.try_element_at(lookup, F.sha2(x, 256))), lambda x: x.isNotNull())))
     else:
         found = F.array().cast("array<string>")
