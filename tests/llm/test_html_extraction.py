@@ -50,3 +50,15 @@ def test_nulls_names_and_empty(spark):
     df = spark.createDataFrame([(1, None, "a"), (1, None, "a"), (None, page(f"<p>{LONG}"), "b")], "page_id long, html string, n_chars string")
     assert sorted((r.text, r.n_chars) for r in H.extract_main_text(df).collect()) == [("", 0), ("", 0), (LONG, len(LONG))]
     assert H.extract_main_text(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("body", "text"),
+    [
+        (f"<div><h1>Title</h1><div class=b>{f'<p>{LONG}</p>' * 20}</div><p>{LONG[:60]}</p></div>", "\n".join(["Title", *[LONG] * 20, LONG[:60]])),
+        *[(f"<nav>Menu</nav><div class='{c}'><h1>Head</h1><p>{LONG}</p><p>{LONG}</p><div class=sidebar>Links</div></div>", f"Head\n{LONG}\n{LONG}") for c in ("content has-sidebar", "layout--with-sidebar", "post comments-open", "elementor-widget")],
+        (f"<div class='page has-sidebar'><article><p>{LONG}</p><p>{LONG}</p></article><div class='comments'>{f'<p>{LONG}</p>' * 5}</div></div>", f"{LONG}\n{LONG}"),
+    ],
+)
+def test_no_main_text_is_lost_to_thresholds(body, text):
+    assert H.main_text(page(body)) == text

@@ -4,7 +4,7 @@ The standard library's parser streams events; blocks between block-level tags ar
 lines. Each line's ratio of text to tags is smoothed with a Gaussian kernel, and a
 threshold (the standard deviation of the smoothed ratios) splits content lines from
 the rest. The content lines select the regions: the articles that hold any, or else
-the smallest element that holds most of them. All lines of these regions are returned
+the smallest element that holds all of them. All lines of these regions are returned
 but for those in menus, headers, footers, sidebars, notices, adverts, forms, scripts,
 styles and comments.
 """
@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -32,12 +33,13 @@ KERNEL = [math.exp(-(d * d) / 2) for d in range(-2, 3)]
 
 
 class Lines(HTMLParser):
-    """Collects (text, tags, path of open elements, skipped) of every block with text."""
+    """Collects (text, tags, path of open elements, skipped, marked elements) of every block with text."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, tuple[int, ...], bool]] = []
+        self.lines: list[tuple[str, int, tuple[int, ...], bool, tuple[int, ...]]] = []
         self.open: list[tuple[str, int, bool]] = []  # tag, number, skipped
+        self.marked: list[int] = []  # open elements that a word of MARKS would skip
         self.kind: dict[int, str] = {}
         self.count = self.tags = self.skipping = self.articles = 0
         self.text: list[str] = []
@@ -45,14 +47,16 @@ class Lines(HTMLParser):
     def flush(self) -> None:
         text = " ".join("".join(self.text).split()) if self.text else ""
         if text:
-            self.lines.append((text, self.tags, tuple(x[1] for x in self.open if x[0] in BLOCKS), self.skipping > 0))
+            self.lines.append((text, self.tags, tuple(x[1] for x in self.open if x[0] in BLOCKS), self.skipping > 0, tuple(self.marked)))
             self.tags = 0
         self.text = []
 
     def pop(self, to: int) -> None:
         """Close the elements from position to on."""
-        for tag, _, skipped in self.open[to:]:
+        for tag, number, skipped in self.open[to:]:
             self.skipping -= skipped
+            if self.marked and self.marked[-1] >= number:
+                del self.marked[bisect_left(self.marked, number) :]
             self.articles -= tag in ("article", "main")
         del self.open[to:]
 
@@ -81,15 +85,20 @@ class Lines(HTMLParser):
                 if self.open[i][0] in within:
                     break
         skipped = tag in SKIPPED or (tag == "header" and not self.articles)
+        marked = False
         if not skipped and attrs and tag not in ("html", "body", "article", "main"):
             for name, value in attrs:
-                if name == "hidden" or (value and ((name in ("class", "id", "role") and not MARKS.isdisjoint(re.split(r"[^a-z]+", value.lower()))) or (name == "aria-hidden" and value == "true"))):
+                if name == "hidden" or (value and name == "aria-hidden" and value == "true"):
                     skipped = tag != "header"
                     break
+                if value and name in ("class", "id", "role") and not MARKS.isdisjoint(re.split(r"[^a-z]+", value.lower())):
+                    marked = tag != "header"
         self.count += 1
         self.kind[self.count] = tag
         self.open.append((tag, self.count, skipped))
         self.skipping += skipped
+        if marked and not skipped:
+            self.marked.append(self.count)
         self.articles += tag in ("article", "main")
 
     def handle_endtag(self, tag: str) -> None:
@@ -121,6 +130,32 @@ def smoothed(ratios: list[float]) -> list[float]:
     return out
 
 
+def content_lines(lines: list[tuple[str, int, tuple[int, ...], bool]]) -> list[int]:
+    """Numbers of the lines whose smoothed ratio reaches the threshold."""
+    ratio = smoothed([0.0 if skipped else len(text) / max(1, tags) for text, tags, _, skipped in lines])
+    mean = sum(ratio) / len(ratio)
+    threshold = min(mean, math.sqrt(sum((r - mean) ** 2 for r in ratio) / len(ratio)))
+    return [i for i, (line, r) in enumerate(zip(lines, ratio, strict=True)) if not line[3] and r >= threshold]
+
+
+def wrappers(parser: Lines) -> set[int]:
+    """Marked elements that hold most of the page's content lines and so are not menus, adverts or the like.
+
+    Where an article or main element beside one has content lines, it stays marked.
+    """
+    lines = parser.lines
+    content = content_lines([x[:4] for x in lines])
+    total, found = sum(len(lines[i][0]) for i in content), set()
+    for e in sorted({e for i in content for e in lines[i][4]}):
+        inside = [i for i in content if e in lines[i][4]]
+        if 2 * sum(len(lines[i][0]) for i in inside) <= total:
+            continue
+        around = {x for x in lines[inside[0]][2] if x < e}
+        if not any(parser.kind[x] in ("article", "main") and x not in around for i in content if e not in lines[i][4] and found.issuperset(lines[i][4]) for x in lines[i][2]):
+            found.add(e)
+    return found
+
+
 def main_text(html: str) -> str:
     """The main text of one page, its blocks joined by newlines; empty if there is none."""
     if not html:
@@ -129,13 +164,11 @@ def main_text(html: str) -> str:
     parser.feed(html)
     parser.close()
     parser.flush()
-    lines = parser.lines
-    if not lines:
+    if not parser.lines:
         return ""
-    ratio = smoothed([0.0 if skipped else len(text) / max(1, tags) for text, tags, _, skipped in lines])
-    mean = sum(ratio) / len(ratio)
-    threshold = min(mean, math.sqrt(sum((r - mean) ** 2 for r in ratio) / len(ratio)))
-    content = [i for i, (line, r) in enumerate(zip(lines, ratio, strict=True)) if not line[3] and r >= threshold]
+    kept = wrappers(parser) if any(x[4] for x in parser.lines) else set()
+    lines = [(text, tags, path, skipped or not kept.issuperset(marked)) for text, tags, path, skipped, marked in parser.lines]
+    content = content_lines(lines)
     if not content:
         return ""
     mass: dict[int, int] = {}
@@ -145,8 +178,8 @@ def main_text(html: str) -> str:
     regions = {e for e in mass if parser.kind[e] in ("article", "main")}
     if not regions:
         total = sum(len(lines[i][0]) for i in content)
-        most = [e for e, m in mass.items() if m >= 0.9 * total and parser.kind[e] not in ("p", "li", "h1", "h2", "h3")]
-        regions = {max(most)} if most else set()
+        whole = [e for e, m in mass.items() if m == total and parser.kind[e] not in ("p", "li", "h1", "h2", "h3")]
+        regions = {max(whole)} if whole else set()
     return "\n".join(text for text, _, path, skipped in lines if not skipped and (not regions or not regions.isdisjoint(path)))
 
 
