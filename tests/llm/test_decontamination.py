@@ -86,3 +86,33 @@ def test_empty_benchmark_and_names(spark):
     assert r.overlaps == [] and not r.contaminated
     hashes, bounds = D.tokens(pa.array(["a b", None]))
     assert len(hashes) == 2 and bounds.tolist() == [0, 2, 2]
+
+
+def found(item, text):
+    hashes = lambda x: D.tokens(pa.array([x]))
+    block = D.Block(np.array([5]), *hashes(item))
+    return block.overlaps(*hashes(text))[0]
+
+
+@pytest.mark.parametrize("n", range(8, 13))
+def test_short_items_are_found_with_all_substitutions_that_the_rule_allows(n):
+    from itertools import combinations
+
+    item, tried = [f"w{i}" for i in range(n)], 0
+    for k in range(4):
+        for gone in combinations(range(n), k):
+            same = np.array([i not in gone for i in range(n)])
+            start, end = D.longest_segment(same)
+            if end - start >= min(11, n - 2):
+                tried += 1
+                text = "a b c " + " ".join("other" if i in gone else w for i, w in enumerate(item)) + " d e"
+                assert found(" ".join(item), text) == [(5, 3 + start, end - start, int(same[start:end].sum()))]
+    assert tried > n
+
+
+def test_items_below_the_seeds_are_found_whole():
+    for n in range(1, 8):
+        item = [f"w{i}" for i in range(n)]
+        text = ["a", "b", *item, "c", *item]
+        assert found(" ".join(item), " ".join(text).upper()) == [(5, 2, n, n)]
+        assert found(" ".join(item), " ".join(["a", *item[:-1], "x"])) == []

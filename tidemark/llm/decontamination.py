@@ -7,7 +7,9 @@ diagonal (document position less item position) is verified: the longest segment
 begins and ends with an equal token and has three quarters of equal ones must have at
 least ``MIN_TOKENS`` tokens, or the item's length less ``EDGES`` if that is smaller.
 The masks hit every 13-token overlap with up to two substitutions, and 276 of the 286
-placements of three; two at the ends leave a segment of 11 tokens.
+placements of three; two at the ends leave a segment of 11 tokens. Items of 8 to 12
+tokens have shorter masks that hit every overlap the rule accepts; those of fewer tokens
+are found where all their tokens stand in a row.
 
 The benchmark is searched in blocks of at most ``BLOCK_TOKENS`` tokens; the hashes of
 one block are broadcast for one pass over the documents, which do not move.
@@ -28,10 +30,21 @@ MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 4, 7, 8, 9), (0, 1, 2, 3, 4, 5), (0, 2, 3, 7
 MIN_TOKENS = 11
 #: Substitutions at the ends of an item do not count against it.
 EDGES = 2
-#: Items with fewer tokens are too short to tell and are left out.
+#: Items with fewer tokens are found only as a whole, by the hash of all their tokens.
 MIN_ITEM = 8
+#: Items from MIN_ITEM tokens up to this have seeds of their own, SHORT_MASKS.
+SHORT_ITEM = 12
+SHORT_MASKS = ((0, 1, 2, 4), (0, 2, 5, 6), (0, 3, 4, 5))
 BLOCK_TOKENS = 500_000
 MISMATCH = -3
+#: All masks, with the least and the largest length of the items they are for.
+SEEDS = [*[(m, MIN_ITEM, None) for m in MASKS], *[(m, MIN_ITEM, SHORT_ITEM) for m in SHORT_MASKS], *[(tuple(range(n)), n, n) for n in range(1, MIN_ITEM)]]
+
+
+def least_tokens(length: int) -> int:
+    """The least length of an overlap with an item of so many tokens."""
+    return min(MIN_TOKENS, length - EDGES) if length >= MIN_ITEM else length
+
 
 OVERLAP = T.StructType([T.StructField("item_id", T.LongType()), T.StructField("start", T.IntegerType()), T.StructField("length", T.IntegerType()), T.StructField("equal", T.IntegerType())])
 _FACTOR = np.random.Generator(np.random.PCG64(77)).integers(0, 1 << 63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -63,9 +76,10 @@ class Block:
         owner = np.repeat(np.arange(len(ids)), length)
         self.table = np.zeros(1 << self.BITS, bool)
         self.keys, self.item, self.place = [], [], []
-        for number, mask in enumerate(MASKS):
+        for number, (mask, low, high) in enumerate(SEEDS):
             key = seeds(hashes, mask, number)
-            at = np.flatnonzero((owner[: len(key)] == owner[mask[-1] :]) & (length[owner[: len(key)]] >= MIN_ITEM)) if len(key) else np.zeros(0, np.int64)
+            size = length[owner[: len(key)]]
+            at = np.flatnonzero((owner[: len(key)] == owner[mask[-1] :]) & (size >= low) & (size <= (high or size))) if len(key) else np.zeros(0, np.int64)
             at = at[np.argsort(key[at], kind="stable")]
             self.keys.append(key[at])
             self.item.append(owner[at])
@@ -74,8 +88,10 @@ class Block:
 
     def hits(self, hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Distinct (text, item, diagonal) rows of the windows that share a seed."""
-        found, text = [], np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-        for number, mask in enumerate(MASKS):
+        found, text = [np.zeros((0, 3), np.int64)], np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+        for number, (mask, whole, _) in enumerate(SEEDS):
+            if not len(self.keys[number]):
+                continue
             key = seeds(hashes, mask, number)
             at = np.flatnonzero(self.table[key >> np.uint64(64 - self.BITS)])
             at = at[text[at] == text[at + mask[-1]]]
@@ -84,7 +100,10 @@ class Block:
             at, low, n = at[n > 0], low[n > 0], n[n > 0]
             source = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
             at = np.repeat(at, n)
-            found.append(np.stack([text[at], self.item[number][source], at - bounds[text[at]] - self.place[number][source]], 1))
+            rows = np.stack([text[at], self.item[number][source], at - bounds[text[at]] - self.place[number][source]], 1)
+            if whole < MIN_ITEM:  # all equal: the first place of an item in a text is the best
+                rows = rows[np.unique(rows[:, :2], axis=0, return_index=True)[1]]
+            found.append(rows)
         return np.unique(np.concatenate(found), axis=0)
 
     def overlaps(self, hashes: np.ndarray, bounds: np.ndarray) -> list[list[tuple[int, int, int, int]]]:
@@ -96,7 +115,7 @@ class Block:
             same = words[low:high] == item[low - diagonal : high - diagonal]
             start, end = longest_segment(same)
             equal = int(same[start:end].sum())
-            if end - start >= min(MIN_TOKENS, len(item)) and 4 * equal >= 3 * (end - start):
+            if end - start >= least_tokens(len(item)) and 4 * equal >= 3 * (end - start):
                 row = (int(self.ids[i]), low + start, end - start, equal)
                 if (equal, -row[1]) > (out[t].get(row[0], (0, 0, 0, 0))[3], -out[t].get(row[0], (0, 0, 0, 0))[1]):
                     out[t][row[0]] = row
