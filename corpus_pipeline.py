@@ -1,7 +1,7 @@
 """A training-data pipeline over ``documents``: each stage keeps the table's columns but the last.
 
 Quality rules reject documents; of each group of near copies one stays; long repeated
-byte strings are cut from the texts; documents with benchmark passages go; the rest is
+strings of bytes or words are cut from the texts; documents with benchmark passages go; the rest is
 encoded. Every stage works on all that its predecessor kept, written as Parquet.
 """
 
@@ -14,7 +14,7 @@ from tidemark.llm.decontamination import decontaminate
 from tidemark.llm.jaccard_join import jaccard_components
 from tidemark.llm.quality_rules import quality_rules
 from tidemark.llm.sentencepiece_bpe import sentencepiece_roundtrip
-from tidemark.llm.suffix_dedup import suffix_array_dedup
+from tidemark.llm.suffix_dedup import WORDS, suffix_array_dedup
 from tidemark.session import Scratch
 
 
@@ -47,8 +47,8 @@ def keep_one_of_near_copies(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def cut_repeats(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the bytes of repeated 400-byte strings (op 7); n_chars follows. Null texts stay null."""
-    cut = suffix_array_dedup(docs, kept_text="__kept")
+    """Texts without repeated strings of 400 bytes or 50 words (op 7); n_chars follows. Null texts stay null."""
+    cut = suffix_array_dedup(docs, kept_text="__kept", words=WORDS)
     text = F.when(F.col("text").isNotNull(), F.col("__kept"))
     out = cut.withColumn("text", text)
     if "n_chars" in docs.columns:

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
@@ -27,6 +28,33 @@ def brute(texts, window):
     return out
 
 
+def brute_words(texts, window, words):
+    """(repeated words, text without repeats of either kind) of each text."""
+    raw = [(t or "").encode() for t in texts]
+    found = [[m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", b)] for b in raw]
+    seen, bytes_seen = collections.Counter(), collections.Counter()
+    runs = [[tuple(b[x:y] for x, y in f[i : i + words]) for i in range(len(f) - words + 1)] for b, f in zip(raw, found, strict=True)]
+    for b, r in zip(raw, runs, strict=True):
+        seen.update(r)
+        bytes_seen.update(b[i : i + window] for i in range(len(b) - window + 1))
+    out = []
+    for b, f, r in zip(raw, found, runs, strict=True):
+        gone, covered = bytearray(len(b)), set()
+        for i, run in enumerate(r):
+            if seen[run] > 1:
+                covered |= set(range(i, i + words))
+        for i in covered:
+            # Up to the next word, if that goes too.
+            a, z = f[i][0], f[i + 1][0] if i + 1 in covered else f[i][1]
+            gone[a:z] = b"\x01" * (z - a)
+        for i in range(len(b) - window + 1):
+            if bytes_seen[b[i : i + window]] > 1:
+                gone[i : i + window] = b"\x01" * window
+        rest = bytes(c for c, g in zip(b, gone, strict=True) if not g)
+        out.append((len(covered), any(gone), rest.decode("utf-8", "ignore").strip()))
+    return out
+
+
 def texts(seed):
     random.seed(seed)
     out = [None, "", "a" * 300, "é" * 50, "ab" * 100, "x" * 39]
@@ -45,6 +73,19 @@ def test_spans_equal_brute_force(spark, seed, hot):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, r.rest) for r in out} == dict(enumerate(brute(rows, 40)))
 
 
+@pytest.mark.parametrize(("seed", "hot"), [(4, 20_000), (5, 3)])
+def test_word_runs_equal_brute_force(spark, seed, hot):
+    random.seed(seed)
+    words = [random.choice(["a", "bé", "ccc"]) + str(random.randint(0, 9)) for _ in range(60)]
+    passage = lambda: words[(a := random.randint(0, 50)) : a + random.randint(2, 9)]
+    rows = [None, "", " \n", *[random.choice([" ", "\n ", "  "]).join(sum((passage() if random.random() < 0.5 else [f"u{random.random()}"] for _ in range(random.randint(1, 9))), [])) for _ in range(150)]]
+    rows += rows[10:14]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    out = S.suffix_array_dedup(df, window=40, gram=8, hot=hot, keep=["doc_id"], kept_text="rest", words=5, word_gram=2).collect()
+    assert {r.doc_id: (r.n_repeat_words, r.has_repeat, r.rest.strip()) for r in out} == dict(enumerate(brute_words(rows, 40, 5)))
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out} == {i: w[:4] for i, w in enumerate(brute(rows, 40))}
+
+
 def test_query_equals_brute_force(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
     want = brute([r.text for r in rows], 400)
@@ -52,6 +93,16 @@ def test_query_equals_brute_force(spark, sf_dir):
     assert got == {r.doc_id: w[:4] for r, w in zip(rows, want, strict=True)}
 
 
+def test_very_long_text(spark):
+    """One text of several megabytes beside short ones that repeat a passage of it."""
+    passage = " ".join(f"p{i}" for i in range(60))
+    long = " ".join(f"w{i}" for i in range(300_000)) + " " + passage + " " + " ".join(f"v{i}" for i in range(100_000))
+    df = spark.createDataFrame([(1, long), (2, "head " + passage + " tail"), (3, "clean")], "doc_id long, text string")
+    got = {r.doc_id: (r.n_removed, r.n_repeat_words, r.has_repeat, r.rest) for r in S.suffix_array_dedup(df, kept_text="rest", words=50).collect()}
+    assert got[2] == (0, 60, True, "head  tail") and got[3] == (0, 0, False, "clean")
+    assert got[1] == (0, 60, True, long.replace(passage, ""))
+
+
 def test_sorting():
     rng = np.random.default_rng(2)
     strings = list({rng.integers(97, 99, 24).astype(np.uint8).tobytes() for _ in range(300)})

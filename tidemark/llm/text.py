@@ -54,10 +54,10 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """Prefix sums from which the hash of any span follows in constant time."""
+    """Prefix sums from which the hash of any span of bytes (or 64-bit symbols) follows in constant time."""
     up, _ = powers(len(data) + 1)
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * up[: len(data)], out=out[1:])
+    np.cumsum((_BYTE[data] if data.dtype == np.uint8 else data) * up[: len(data)], out=out[1:])
     return out
 
 
