@@ -1,3 +1,6 @@
+import os
+import re
+
 from conftest import rows_equal
 
 from tidemark.llm import license_scan as L
@@ -23,7 +26,7 @@ def test_variants_of_a_text_match(spark):
 
 def test_no_known_texts(spark):
     df = spark.createDataFrame([(1, "Released under the MIT License.")], "doc_id long, text string")
-    r = L.license_scan(df, known=[]).first()
+    r = L.license_scan(df, known=[], known_by_digest=[]).first()
     assert r.license_id is None and r.line_licenses == []
 
 
@@ -31,7 +34,7 @@ def test_lines_equal_sql_for_unwrapped_texts_and_rules(spark, tmp_path):
     """Whole texts unwrapped on one line, and notices on lines of many rules and blanks, as the SQL finds them."""
     import duckdb
 
-    whole = {n: " ".join(t.split()) for n, t in L.KNOWN if "\n" in t}
+    whole = {n: " ".join(t.split()) for n, t in L.KNOWN if "\n" in t and n in ("MIT", "ISC", "0BSD")}
     rule = "*" * 400 + " Released under the MIT License. " + " " * 400
     texts = [*[f"Some words first.\n{t}\nMore words." for t in whole.values()], f"a\n{rule}\nb", rule, whole["ISC"], "x\nThis Source Code Form is subject to the terms of the Mozilla Public License, v 2.0\n", "x\ny", "\n", "", None]
     path = f"{tmp_path}/documents.parquet"
@@ -41,3 +44,32 @@ def test_lines_equal_sql_for_unwrapped_texts_and_rules(spark, tmp_path):
     got = L.op3_license_scan(spark, str(tmp_path))
     rows_equal(got, con.sql(L.op3_sql()))
     assert [r.line_licenses for r in got.orderBy("doc_id").collect()] == ["MIT", "ISC", "0BSD", "MIT", "MIT", "ISC", "MPL-2.0", "", "", "", ""]
+
+
+def test_every_known_text_is_found_whole_and_as_a_line(spark):
+    rows = [(i, n, t) for i, (n, t) in enumerate([*L.KNOWN, *[(n, L.without_title(t)) for n, t in L.KNOWN]])]
+    folder = "/usr/share/common-licenses"
+    files = {"Apache-2.0": "Apache-2.0", "BSD-3-Clause": "BSD", "GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "LGPL-2.1": "LGPL-2.1", "LGPL-3.0": "LGPL-3", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    end = "END OF TERMS AND CONDITIONS"
+    for name, file in files.items():
+        if os.path.exists(f"{folder}/{file}"):
+            with open(f"{folder}/{file}", encoding="utf-8") as f:
+                text = f.read()
+            rows += [(len(rows), name, text)] + ([(len(rows) + 1, name, text[: text.find(end) + len(end)])] if end in text else [])
+    df = spark.createDataFrame(rows, "id int, name string, text string")
+    for r in L.license_scan(df).collect():
+        assert r.license_id == r.name, r.name
+    lines = spark.createDataFrame([(i, n, "Head\n" + re.sub(L._COPYRIGHT, "", t, flags=re.I).replace("\n", " ") + "\nTail") for i, n, t in rows], "id int, name string, text string")
+    for r in L.license_scan(lines).collect():
+        assert r.line_licenses == [r.name], r.name
+
+
+def test_clashing_names_repeated_rows_and_long_texts(spark):
+    long = "word centre " * 200_000
+    rows = [(1, "Released under the MIT License.", "a", ["x"]), (1, "Released under the MIT License.", "a", ["x"]), (None, long, "b", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, license_id string, line_licenses array<string>")
+    out = L.license_scan(df)
+    assert out.columns == ["doc_id", "text", "license_digest", "license_id", "line_licenses"]
+    got = out.collect()
+    assert sum(r.license_id == "MIT" and r.line_licenses == ["MIT"] for r in got) == 2
+    assert next(r.license_digest for r in got if r.doc_id is None) == L.digest(long)
