@@ -13,7 +13,7 @@ def test_pairs_count_beyond_single_terms():
     flags = rng.integers(0, 2, (3000, 2))
     texts, label = [make(a, b) for a, b in flags], (flags[:, 0] ^ flags[:, 1]).astype(np.int64)
     row, bucket = X.terms(pa.array(texts[:2500]))
-    machine = X.train(row, bucket, label[:2500], epochs=60, rate=0.2, least_z=0)
+    machine = X.train(row, bucket, label[:2500])
     assert ((machine.scores(pa.array(texts[2500:])) >= 0.5) == label[2500:]).mean() > 0.9
 
 
@@ -49,3 +49,27 @@ def test_scores_do_not_depend_on_labels_of_held_out_rows(spark):
     other = labels.withColumn("toxic", F.when(X.is_held_out(F.col("doc_id")), 1 - F.col("toxic")).otherwise(F.col("toxic")))
     a, b = X.fit(documents, labels), X.fit(documents, other)
     assert a.b == b.b and (a.w == b.w).all()
+
+
+def test_scores_equal_brute_force():
+    """Every pair of terms, summed one by one."""
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(25)]
+    texts = pa.array([None, "", *[" ".join(rng.choice(words, 8)) for _ in range(300)]])
+    label = np.array([int("w3" in str(t).split() and "w7" in str(t).split()) for t in texts.to_pylist()])
+    row, bucket = X.terms(texts)
+    machine = X.train(row, bucket, label)
+    machine.v[:] = rng.normal(0, 0.3, machine.v.shape)
+    got = machine.scores(texts)
+    for i in range(0, len(texts), 7):
+        at = [machine.place[b] for b in bucket[row == i] if machine.place[b] >= 0]
+        z = machine.b + sum(machine.w[a] for a in at) + sum(machine.v[a] @ machine.v[b] for k, a in enumerate(at) for b in at[:k])
+        assert abs(got[i] - 1 / (1 + np.exp(-z))) < 1e-9
+
+
+def test_very_long_and_repeated_texts(spark):
+    long = "fine words " * 300_000
+    df = spark.createDataFrame([(1, long), (1, long), (2, "fine words")], "doc_id long, text string")
+    machine = X.train(*X.terms(pa.array(["bad thing", "fine words"] * 40)), np.array([1, 0] * 40))
+    scores = [r.score for r in X.toxicity(df, machine).collect()]
+    assert len(set(scores)) == 1 and scores[0] < 0.3

@@ -1,8 +1,12 @@
 """Toxicity scores by a factorization machine over hashed terms.
 
 Terms of a text are its distinct tokens (lower case) and their first 4 and 6 bytes,
-hashed to ``BUCKETS``. The ``SELECTED`` buckets that tell the classes apart best in the
-training rows are kept. The machine's score is
+hashed to ``BUCKETS``. Two kinds of buckets are kept: up to ``SELECTED`` that tell the
+classes apart best by themselves, and up to ``PAIRED`` that do so in pairs, whatever each
+does alone: a machine of the former leaves errors of one sign on the texts with both, by
+more than chance over all pairs of the ``CANDIDATES`` most common buckets. So an insult
+with a group mention counts even where either word alone is as common in clean texts.
+The machine's score is
 
     b + sum_i w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j
 
@@ -13,6 +17,8 @@ size of the corpus, and scores whole texts in Arrow batches.
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -28,8 +34,12 @@ FACTORS = 8
 #: Labelled rows that the model is fitted to: half of them of each class at most.
 MAX_TRAINING = 12_000
 PREFIXES = (4, 6)
-#: Least z-value of a bucket's difference between the classes, to leave chance out.
-LEAST_Z = 4.0
+#: Least z-value of a bucket's own difference between the classes, to leave chance out.
+LEAST_Z = 3.0
+#: Buckets whose pairs are looked at, those kept for their pairs, and the chance of a false pair.
+CANDIDATES = 4096
+PAIRED = 1024
+FALSE_PAIR = 0.01
 
 
 def terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -54,10 +64,12 @@ class Machine:
         self.place, self.w, self.v, self.b = place, w, v, b
 
     def scores(self, column: pa.Array) -> np.ndarray:
-        row, bucket = terms(column)
+        return self.chances(*terms(column), len(column))
+
+    def chances(self, row: np.ndarray, bucket: np.ndarray, n: int) -> np.ndarray:
         at = self.place[bucket]
         row, at = row[at >= 0], at[at >= 0]
-        z = self.b + raw_scores(row, at, len(column), self.w, self.v)[0]
+        z = self.b + raw_scores(row, at, n, self.w, self.v)[0]
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
@@ -72,26 +84,65 @@ def raw_scores(row: np.ndarray, at: np.ndarray, n: int, w: np.ndarray, v: np.nda
     return z, sums
 
 
-def select_buckets(row: np.ndarray, bucket: np.ndarray, label: np.ndarray, least_z: float = LEAST_Z) -> np.ndarray:
+def select_singles(row: np.ndarray, bucket: np.ndarray, label: np.ndarray) -> np.ndarray:
     """The buckets whose share of texts differs most between the classes, by z-value; ties by number."""
     n1, n0 = max(1, int(label.sum())), max(1, int((1 - label).sum()))
     c1 = np.bincount(bucket[label[row] == 1], minlength=BUCKETS)
     c0 = np.bincount(bucket[label[row] == 0], minlength=BUCKETS)
     p = (c1 + c0) / (n1 + n0)
     z = np.abs(c1 / n1 - c0 / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / n1 + 1 / n0))
-    z[(c1 + c0 < 3) | (z < least_z)] = 0
+    z[(c1 + c0 < 3) | (z < LEAST_Z)] = 0
     best = np.argsort(-z, kind="stable")[:SELECTED]
-    return np.sort(best[z[best] > 0]) if least_z > 0 else np.sort(best[(c1 + c0)[best] >= 3])
+    return best[z[best] > 0]
 
 
-def train(row: np.ndarray, bucket: np.ndarray, label: np.ndarray, shift: float = 0.0, epochs: int = 30, rate: float = 0.1, decay: float = 1e-4, batch: int = 256, seed: int = 5, least_z: float = LEAST_Z) -> Machine:
-    """Fit by Adagrad on the logistic loss; rows must be ordered by text.
+def select_paired(row: np.ndarray, bucket: np.ndarray, error: np.ndarray, variance: np.ndarray) -> np.ndarray:
+    """The buckets of the pairs on whose texts the errors add up furthest beyond chance."""
+    n = len(error)
+    count = np.bincount(bucket, minlength=BUCKETS)
+    chosen = np.sort(np.argsort(-count, kind="stable")[:CANDIDATES])
+    chosen = chosen[(count[chosen] >= 10) & (count[chosen] < n)]
+    if len(chosen) < 2:
+        return chosen[:0]
+    place = np.full(BUCKETS, -1, np.int32)
+    place[chosen] = np.arange(len(chosen))
+    at = place[bucket]
+    row, at = row[at >= 0], at[at >= 0]
+    total, spread = (np.zeros((len(chosen), len(chosen)), np.float32) for _ in range(2))
+    for i in range(0, n, 1024):
+        a, b = np.searchsorted(row, [i, i + 1024])
+        matrix = np.zeros((min(1024, n - i), len(chosen)), np.float32)
+        matrix[row[a:b] - i, at[a:b]] = 1
+        total += matrix.T @ (matrix * error[i : i + 1024, None].astype(np.float32))
+        spread += matrix.T @ (matrix * variance[i : i + 1024, None].astype(np.float32))
+    z = np.abs(total) / np.sqrt(spread + 1)
+    np.fill_diagonal(z, 0)
+    best = z.max(1)
+    least = NormalDist().inv_cdf(1 - FALSE_PAIR / len(chosen) ** 2)
+    order = np.argsort(-best, kind="stable")[:PAIRED]
+    return chosen[order[best[order] > least]]
+
+
+def train(row: np.ndarray, bucket: np.ndarray, label: np.ndarray, shift: float = 0.0) -> Machine:
+    """Select buckets and fit a machine of them; rows must be ordered by text.
 
     shift is added to the bias afterwards: the log of how much more often one class
     was sampled, so that scores are probabilities at the corpus's own rate.
     """
-    chosen = select_buckets(row, bucket, label, least_z)
+    singles = select_singles(row, bucket, label)
+    machine = fit_machine(row, bucket, label, singles)
+    p = machine.chances(row, bucket, len(label))
+    chosen = np.union1d(singles, select_paired(row, bucket, label - p, p * (1 - p)))
+    if len(chosen) > len(singles):
+        machine = fit_machine(row, bucket, label, chosen)
+    machine.b += shift
+    return machine
+
+
+def fit_machine(row: np.ndarray, bucket: np.ndarray, label: np.ndarray, chosen: np.ndarray, epochs: int = 30, rate: float = 0.1, decay: float = 1e-4, batch: int = 256, seed: int = 5) -> Machine:
+    """A machine of the chosen buckets, by Adagrad on the logistic loss."""
     place = np.full(BUCKETS, -1, np.int32)
+    chosen = np.sort(chosen)
     place[chosen] = np.arange(len(chosen))
     at = place[bucket]
     row, at = row[at >= 0], at[at >= 0]
@@ -120,7 +171,7 @@ def train(row: np.ndarray, bucket: np.ndarray, label: np.ndarray, shift: float =
                 step = np.bincount(inverse, d[r] * (sums[r, f] - x), len(used)) + decay * v[used, f]
                 gv[used, f] += step**2
                 v[used, f] -= 0.2 * rate * step / np.sqrt(gv[used, f])
-    return Machine(place, w, v, b + shift)
+    return Machine(place, w, v, b)
 
 
 def is_held_out(id_col: Column) -> Column:
