@@ -62,3 +62,23 @@ def test_nulls_names_and_empty(spark):
 )
 def test_no_main_text_is_lost_to_thresholds(body, text):
     assert H.main_text(page(body)) == text
+
+
+@pytest.mark.parametrize(
+    ("body", "text"),
+    [
+        (f"<article><h2 class='section-header'>Part</h2><p>{LONG}</p></article>", f"Part\n{LONG}"),
+        (f"<article><div class='article-header'><h1>Title</h1></div><p>{LONG}</p></article>", f"Title\n{LONG}"),
+        (f"<div class='post'><div class='post-header'><h1>Title</h1></div><p>{LONG}</p><p>{LONG}</p></div><div class='site-footer'>Imprint</div>", f"Title\n{LONG}\n{LONG}"),
+        (f"<article><p>{LONG}</p><figure class='media-widget'><figcaption>A caption.</figcaption></figure><div class='media-widget'>Told.</div><div class='widget'>Links</div></article>", f"{LONG}\nA caption.\nTold."),
+        (f"<article><p>{LONG}</p><p>So <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> holds.</p></article>", f"{LONG}\nSo x=2 holds."),
+        (f"<article><p>{LONG}</p><p>{LONG}</p></article><article class='comment'><p>{LONG}</p></article>", f"{LONG}\n{LONG}"),
+        (f"<article class='post comments-open'><p>{LONG}</p><article id='comment-7'><p>{LONG}</p></article><section class='comments'><article><p>{LONG}</p></article></section></article>", LONG),
+        (f"<article class='post social-history comments-closed'><p>{LONG}</p></article><article class='post'><p>{LONG}</p></article>", f"{LONG}\n{LONG}"),
+        (f"<article><p class='byline'>By A. Writer</p><p>{LONG}</p><div class='share-buttons'>Share</div><div class='footer'>Filed under x</div><p class='ad'>Buy</p></article>", f"By A. Writer\n{LONG}"),
+        (f"<article><p>{LONG} One<script>var a = '<p>';</script> block <svg><text>icon</text></svg>stays <button>Buy</button>whole.</p></article>", f"{LONG} One block stays whole."),
+        (f"<div role='banner'>Site</div><div class='main-nav'>Home</div><div><p>{LONG}</p><p>{LONG}</p></div><div role='contentinfo'>Imprint</div>", f"{LONG}\n{LONG}"),
+    ],
+)
+def test_names_of_classes(body, text):
+    assert H.main_text(page(body)) == text

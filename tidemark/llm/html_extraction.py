@@ -14,6 +14,7 @@ from __future__ import annotations
 import math
 import re
 from bisect import bisect_left
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -24,11 +25,43 @@ from tidemark.llm.frames import require, with_text_columns
 
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SKIPPED = frozenset("head title script style noscript template nav footer aside form button select option textarea iframe object svg canvas audio video dialog menu map math datalist".split())
+SKIPPED = frozenset("head title script style noscript template nav footer aside form button select option textarea iframe object svg canvas audio video dialog menu map datalist annotation annotation-xml".split())
+#: Those that may stand within a block: their text is left out and does not split it.
+MUTED = SKIPPED - BLOCKS
 #: What an opening tag closes by itself, and up to which element.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
-#: Words of class, id and role that mark what is not the article.
-MARKS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs byline comment comments consent cookie cookies copyright disclaimer disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification outbrain overlay pager pagination popup promo promotion recommended related replies reply respond share sharing sidebar signup social sponsor sponsored subscribe subscription taboola toolbar widget".split())
+#: Words of class, id and role that mark adverts, notices, forms, sharing and reader comments.
+MARKS = frozenset("ad ads advert adverts advertisement advertising breadcrumb breadcrumbs comment comments consent cookie cookies copyright disclaimer disqus gdpr login modal newsletter outbrain overlay pager pagination popup promo promotion recommended related replies reply respond share sharing signup social sponsor sponsored subscribe subscription taboola".split())
+#: Words that mark a page's frame. Headings, figures and other text elements are not
+#: frames; parts of a name count outside article and main only (a "media-widget" is not a widget).
+FRAMES = frozenset("banner contentinfo complementary footer header masthead menu nav navbar navigation notice notices notification sidebar toolbar widget".split())
+TEXT_ELEMENTS = frozenset("blockquote caption dd dl dt figcaption figure h1 h2 h3 h4 h5 h6 p pre table tbody td th thead tr".split())
+#: In a name with one of these, "header" is that of the article.
+ARTICLE_WORDS = frozenset("article content entry page post section story text".split())
+#: An article element is marked by such first words of a name, as "comment-12", but not by "comments-open".
+ARTICLE_MARKS = frozenset("ad advert comment promo related reply sponsored".split())
+
+
+@lru_cache(4096)
+def is_marked(tag: str, names: str, inside: bool) -> bool:
+    """Does a class, id or role mark the element as none of the main text? inside: within article or main."""
+    for name in names.lower().split():
+        words = [w for w in re.split(r"[^a-z]+", name) if w]
+        if tag == "article":
+            if name in MARKS or (words and words[0] in ARTICLE_MARKS):
+                return True
+            continue
+        if not MARKS.isdisjoint(words):
+            return True
+        if tag in TEXT_ELEMENTS or FRAMES.isdisjoint(words):
+            continue
+        if "header" in words and FRAMES.isdisjoint(w for w in words if w != "header") and (inside or not ARTICLE_WORDS.isdisjoint(words)):
+            continue
+        if not inside or name in FRAMES:
+            return True
+    return False
+
+
 KERNEL = [math.exp(-(d * d) / 2) for d in range(-2, 3)]
 
 
@@ -41,7 +74,7 @@ class Lines(HTMLParser):
         self.open: list[tuple[str, int, bool]] = []  # tag, number, skipped
         self.marked: list[int] = []  # open elements that a word of MARKS would skip
         self.kind: dict[int, str] = {}
-        self.count = self.tags = self.skipping = self.articles = 0
+        self.count = self.tags = self.skipping = self.muted = self.articles = 0
         self.text: list[str] = []
 
     def flush(self) -> None:
@@ -55,6 +88,7 @@ class Lines(HTMLParser):
         """Close the elements from position to on."""
         for tag, number, skipped in self.open[to:]:
             self.skipping -= skipped
+            self.muted -= tag in MUTED
             if self.marked and self.marked[-1] >= number:
                 del self.marked[bisect_left(self.marked, number) :]
             self.articles -= tag in ("article", "main")
@@ -62,7 +96,7 @@ class Lines(HTMLParser):
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         block = tag in BLOCKS
-        if block or tag in SKIPPED:
+        if block:
             self.flush()
         self.tags += 1
         if tag in VOID:
@@ -86,23 +120,24 @@ class Lines(HTMLParser):
                     break
         skipped = tag in SKIPPED or (tag == "header" and not self.articles)
         marked = False
-        if not skipped and attrs and tag not in ("html", "body", "article", "main"):
+        if not skipped and attrs and tag not in ("html", "body", "main", "header"):
             for name, value in attrs:
-                if name == "hidden" or (value and name == "aria-hidden" and value == "true"):
-                    skipped = tag != "header"
+                if tag != "article" and (name == "hidden" or (value and name == "aria-hidden" and value == "true")):
+                    skipped = True
                     break
-                if value and name in ("class", "id", "role") and not MARKS.isdisjoint(re.split(r"[^a-z]+", value.lower())):
-                    marked = tag != "header"
+                if value and name in ("class", "id", "role"):
+                    marked = marked or is_marked(tag, value, self.articles > 0)
         self.count += 1
         self.kind[self.count] = tag
         self.open.append((tag, self.count, skipped))
         self.skipping += skipped
+        self.muted += tag in MUTED
         if marked and not skipped:
             self.marked.append(self.count)
         self.articles += tag in ("article", "main")
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in BLOCKS or tag in SKIPPED:
+        if tag in BLOCKS:
             self.flush()
         self.tags += 1
         for i in range(len(self.open) - 1, -1, -1):
@@ -118,7 +153,8 @@ class Lines(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_data(self, data: str) -> None:
-        self.text.append(data)
+        if not self.muted:
+            self.text.append(data)
 
 
 def smoothed(ratios: list[float]) -> list[float]:
