@@ -1,7 +1,7 @@
 """URL filters: host and path rules, and logistic regression on hashed character n-grams.
 
-The regression is trained on the driver from a small labelled table of urls (at most
-``MAX_LABELLED`` rows) and scores every url in Arrow batches; the model is one array
+The regression is trained on the driver from a small table of urls labelled by hand
+(``url_labels.py``, or another of at most ``MAX_LABELLED`` rows) and scores every url in Arrow batches; the model is one array
 of ``BUCKETS`` weights.
 """
 
@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from tidemark.llm.frames import require, with_text_columns
 from tidemark.llm.text import buffers, prefix_hash, span_hash
+from tidemark.llm.url_labels import labelled_urls
 
 BUCKETS = 1 << 14
 NGRAMS = (3, 4, 5)
@@ -27,31 +28,6 @@ MAX_RULES = 1000
 #: (host, path prefix, verdict) as the query applies them.
 RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
 
-_UNWANTED = ["ads", "ad-server", "adserv", "track", "tracker", "tracking", "click", "clicks", "casino", "poker", "bet", "xxx", "porn", "adult", "spam", "banner", "popup", "affiliate", "malware", "phish", "warez", "cheap-pills", "viagra", "loan-offer", "win-prize", "free-deal"]
-_WANTED = ["blog", "news", "docs", "wiki", "library", "museum", "journal", "school", "garden", "recipes", "travel", "science", "history", "forum", "weather", "review", "garage", "kitchen", "letters", "theatre", "m", "www", "research", "city"]
-#: Common syllables; ordinary hosts of the labelled table are put together from them.
-_SYLLABLES = ["an", "be", "con", "der", "ent", "for", "ing", "ion", "lo", "men", "ner", "or", "per", "re", "ser", "ter", "the", "un", "ver", "wa", "she", "hou", "tion", "ble"]
-
-
-def labelled_urls() -> list[tuple[str, int]]:
-    """The small labelled table, 1 for unwanted: urls built from the short word lists above.
-
-    Hosts are reserved example names; each word stands as a domain, a subdomain and
-    joined to another, with the same paths for both labels.
-    """
-    hosts = []
-    for label, words in ((1, _UNWANTED), (0, _WANTED)):
-        for i, w in enumerate(words):
-            other = _WANTED[(i * 5 + 3) % len(_WANTED)]
-            for tld in ("com", "net", "org"):
-                hosts += [(f"{p}{w}.example.{tld}", label) for p in ("", "www.", "m.", "blog.")]
-                hosts += [(f"{w}-{other}.example.{tld}", label), (f"{w}s.example.{tld}", label), (f"www.{w}-x.example.{tld}", label)]
-    n = len(_SYLLABLES)
-    for i in range(n * n):
-        name = _SYLLABLES[i % n] + _SYLLABLES[i // n] + (_SYLLABLES[(i * 7 + 5) % n] if i % 2 else "")
-        hosts.append((f"{('', 'www.', 'blog.', 'm.')[i % 4]}{name}.example.{('com', 'net', 'org')[i % 3]}", 0))
-    return [(f"http{'s' * (i % 2)}://{h}/{('en', 'de', 'fr', 'es')[i * 7 // 3 % 4]}/{i * 7919 % 50000}{('', '/', '.html')[i * 5 // 7 % 3]}", y) for i, (h, y) in enumerate(hosts)]
-
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
     """Host: after the first ``://`` up to ``/``, ``?``, ``#`` or end, A-Z in lower case; path: from there up to ``?``, ``#`` or end.
