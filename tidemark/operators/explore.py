@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -56,6 +57,23 @@ def null_last(key: str, direction: str, tie: str = "label") -> list[Column]:
     return [first, F.col(tie).asc()]
 
 
+def places(rows: DataFrame, group: str, key: Column, tie: str, name: str, order: Callable[[Column], Column], width: int = 100_000) -> DataFrame:
+    """rows with their place within the group by key, in the given order, and by tie, a unique integer.
+
+    A group is cut by its key and by ranges of width of the tie, so a large group is no
+    single task: rows are counted within a cut, and the sizes of the cuts before it are
+    added. Rows with a null tie come first in their cut.
+    """
+    cut = rows.withColumns({"__key": key, "__cut": F.floor(F.col(tie) / width)})
+    parts = [group, "__key", "__cut"]
+    local = cut.withColumn("__place", F.row_number().over(Window.partitionBy(*parts).orderBy(tie)))
+    before = F.sum("__n").over(Window.partitionBy(group).orderBy(order(F.col("__key")), F.col("__cut").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1))
+    sizes = cut.groupBy(*parts).agg(F.count("*").alias("__n")).withColumn("__before", F.coalesce(before, F.lit(0))).drop("__n")
+    sizes = sizes.withColumnsRenamed({c: f"__of_{i}" for i, c in enumerate(parts)})
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__of_{i}")) for i, c in enumerate(parts)])
+    return local.join(sizes, same).withColumn(name, F.col("__place") + F.col("__before")).select(*rows.columns, name)
+
+
 def explore(rows: DataFrame, chip: str = "all", term: str = "", sort: str = "language", direction: str | None = None, searched: tuple[str, ...] = SEARCHED) -> DataFrame:
     """Filtered, searched and sorted rows."""
     kept = rows.where(FILTERS[chip]() & matches(term, *searched))
