@@ -140,3 +140,18 @@ def test_set_scores_equal_the_arrays(spark):
 def test_blockers_are_distinct_and_empty_keys_stay(spark):
     rows = spark.createDataFrame([("a", ["x"]), ("a", ["x", "w"]), ("b", [])], "k string, blockers array<string>")
     assert {r.k: r.blockers for r in evidence.blockers_by(rows, "k").collect()} == {"a": ["w", "x"], "b": []}
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster(spark):
+    from types import SimpleNamespace
+
+    from tidemark.session import Scratch, scratch_root
+
+    conf = SimpleNamespace(get=lambda *_: None)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch_root(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077", applicationId="a")))
+    before = spark.conf.get("spark.checkpoint.dir", None)
+    scratch = Scratch(spark, "test")
+    assert scratch.table(spark.range(3), "t").count() == 3
+    scratch.drop("t")
+    assert spark.conf.get("spark.checkpoint.dir", None) == before

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import gc
 import os
 import tempfile
@@ -11,6 +13,9 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+#: Local scratch folders by application, and the folders of all operator runs.
+_LOCAL: dict[str, str] = {}
+_ROOTS: list[tuple[SparkSession, str]] = []
 
 
 #: Settings of Arrow batches, with Spark's defaults and what suits whole texts.
@@ -46,16 +51,33 @@ def ship_package(spark: SparkSession) -> None:
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder for intermediate tables.
 
-    A cluster names it in ``spark.checkpoint.dir``; only where that is unset (as in
-    local tests) a local folder is chosen and recorded in the session.
+    A cluster names it in ``spark.checkpoint.dir``; without it only a local master can
+    work, in a folder of its own. The session's settings stay as they are.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="tidemark-checkpoints-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        app = spark.sparkContext.applicationId
+        if app not in _LOCAL:
+            _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="tidemark-checkpoints-")
+        root = _LOCAL[app]
     return root.rstrip("/")
 
 
+def _remove(jvm, conf, path: str) -> None:
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(conf).delete(at, True)
+
+
+@atexit.register
+def _remove_scratch() -> None:
+    """Results may be read as long as the program runs; then all scratch tables go."""
+    for spark, root in _ROOTS:
+        with contextlib.suppress(Exception):  # the JVM may be gone
+            _remove(spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), root)
+
+
 class Scratch:
     """Named intermediate tables of one operator run, as Parquet in the shared folder.
 
@@ -67,6 +89,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+        _ROOTS.append((spark, self.root))
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
@@ -77,8 +100,7 @@ class Scratch:
         jvm = self.spark.sparkContext._jvm
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-            path.getFileSystem(conf).delete(path, True)
+            _remove(jvm, conf, f"{self.root}/{name}")
 
     def release(self) -> None:
         """Let Spark clean the shuffle files of finished steps: it does so when the driver collects garbage."""
