@@ -239,7 +239,7 @@ def repeated_spans(documents: DataFrame, text: str, scratch: Scratch, window: in
     scratch.drop(label + "anchors", label + "grams")
     scratch.release()
 
-    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def contexts(batches: Iterator[pa.RecordBatch], hot_ones: bool) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "__text"):
                 data, offsets = _symbols(part.column(2), words)
@@ -248,19 +248,22 @@ def repeated_spans(documents: DataFrame, text: str, scratch: Scratch, window: in
                 flat, size = listed.flatten(), np.diff(listed.offsets.to_numpy())
                 owner = np.repeat(np.arange(part.num_rows), size)
                 want = owner * (1 << 32) + flat.field("at").to_numpy(zero_copy_only=False)
-                is_hot = flat.field("hot").to_numpy(zero_copy_only=False)
+                want = want[flat.field("hot").to_numpy(zero_copy_only=False) == hot_ones]
                 by = np.argsort(want)
                 mine = row * (1 << 32) + at
                 hit = np.minimum(np.searchsorted(want[by], mine), max(0, len(want) - 1))
                 keep = want[by][hit] == mine if len(want) else np.zeros(len(mine), bool)
-                hot_rows, row, at, value, first, last = (x[keep] for x in (is_hot[by][hit], row, at, value, first, last))
+                row, at, value, first, last = (x[keep] for x in (row, at, value, first, last))
                 raw = (data.astype(np.uint32) if words else data).tobytes()
                 base = offsets[row]
                 pieces = [raw[a:b] for a, b in zip(((base + first) * cell).tolist(), ((base + last + window) * cell).tolist(), strict=True)]
                 t1, t2 = part.column(0).to_numpy()[row], part.column(1).to_numpy()[row]
-                yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(t1), pa.array(t2), pa.array(at.astype(np.int32)), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(hot_rows.astype(bool)), pa.array(pieces, pa.binary())], names=["gram", "t1", "t2", "at", "first", "last", "hot", "context"])
+                yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(t1), pa.array(t2), pa.array(at.astype(np.int32)), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(pieces, pa.binary())], names=["gram", "t1", "t2", "at", "first", "last", "context"])
+
+    def sent(hot_ones: bool) -> DataFrame:
+        kept = texts.where(F.exists("anchors", lambda x: x["hot"] == F.lit(hot_ones))) if any_hot else texts
+        return kept.mapInArrow(tidy(lambda batches: contexts(batches, hot_ones)), "gram long, t1 long, t2 long, at int, first int, last int, context binary")
 
-    sent = texts.mapInArrow(tidy(contexts), "gram long, t1 long, t2 long, at int, first int, last int, hot boolean, context binary")
     total = texts.agg(F.coalesce(F.sum(F.size("anchors")), F.lit(0))).first()[0]
     buckets = max(1, -(-total // BUCKET))
 
@@ -271,7 +274,7 @@ def repeated_spans(documents: DataFrame, text: str, scratch: Scratch, window: in
         release_memory()
         return pd.DataFrame({"t1": pdf["t1"].to_numpy()[who], "t2": pdf["t2"].to_numpy()[who], "start": (at[who] - to).astype(np.int32), "end": (at[who] - frm + window).astype(np.int32)})
 
-    spans = sent.where("NOT hot").withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(buckets))).groupBy("bucket").applyInPandas(sort_bucket, "t1 long, t2 long, start int, end int")
+    spans = sent(False).withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(buckets))).groupBy("bucket").applyInPandas(sort_bucket, "t1 long, t2 long, start int, end int")
     if any_hot:
 
         def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,7 +283,7 @@ def repeated_spans(documents: DataFrame, text: str, scratch: Scratch, window: in
                     starts = range(len(context) // cell - window + 1)
                     yield pa.RecordBatch.from_arrays([pa.array([hashlib.blake2b(context[i * cell : (i + window) * cell], digest_size=16).digest() for i in starts], pa.binary()), pa.array([t1] * len(starts)), pa.array([t2] * len(starts)), pa.array([first + i for i in starts], pa.int32())], names=["digest", "t1", "t2", "start"])
 
-        windows = scratch.table(sent.where("hot").mapInArrow(tidy(digests), "digest binary, t1 long, t2 long, start int"), label + "windows")
+        windows = scratch.table(sent(True).mapInArrow(tidy(digests), "digest binary, t1 long, t2 long, start int"), label + "windows")
         several = windows.select("digest", F.xxhash64("t1", "t2", "start").alias("place")).groupBy("digest").agg(F.min("place").alias("low"), F.max("place").alias("high")).where("low <> high").select("digest")
         spans = spans.union(_listed(windows, several, "digest").select("t1", "t2", "start", (F.col("start") + window).alias("end")))
     # Written, so that what led to them can go.
