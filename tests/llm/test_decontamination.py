@@ -55,7 +55,7 @@ def test_blocks_give_the_same(spark, sf_dir, monkeypatch):
     documents, benchmark = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     whole = {r.doc_id: r.overlaps for r in D.decontaminate(documents, benchmark).collect()}
     monkeypatch.setattr(D, "BLOCK_TOKENS", 300)
-    assert len(D.blocks_of(benchmark, "text", "item_id")) > 1
+    assert len(list(D.blocks_of(benchmark, "text", "item_id"))) > 1
     assert {r.doc_id: r.overlaps for r in D.decontaminate(documents, benchmark).collect()} == whole
 
 
@@ -116,3 +116,49 @@ def test_items_below_the_seeds_are_found_whole():
         text = ["a", "b", *item, "c", *item]
         assert found(" ".join(item), " ".join(text).upper()) == [(5, 2, n, n)]
         assert found(" ".join(item), " ".join(["a", *item[:-1], "x"])) == []
+
+
+def brute(texts, items):
+    """Per text, the items that any diagonal overlaps by the rule: every placement is tried."""
+    out = []
+    for text in texts:
+        own, hit = words(text or ""), set()
+        where = {}
+        for i, w in enumerate(own):
+            where.setdefault(w, []).append(i)
+        for item_id, item in items:
+            diagonals = {i - j for j, w in enumerate(item) for i in where.get(w, ())}
+            for d in diagonals:
+                low, high = max(0, d), min(len(own), d + len(item))
+                same = np.array([own[i] == item[i - d] for i in range(low, high)])
+                start, end = D.longest_segment(same)
+                if end - start >= D.least_tokens(len(item)):
+                    hit.add(item_id)
+                    break
+        out.append(hit)
+    return out
+
+
+def test_overlaps_of_the_test_tables_equal_brute_force(spark, sf_dir):
+    """Nothing is found that the rule does not allow, and at most one in fifty overlaps is missed."""
+    items = [(r.item_id, words(r.text)) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect() if r.text]
+    rows = [r for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect() if len(r.text or "") < 20_000]
+    want = dict(zip([r.doc_id for r in rows], brute([r.text for r in rows], items), strict=True))
+    got = {r.doc_id: {int(x) for x in r.benchmark_items.split(",") if x} for r in D.op6_benchmark_decontamination(spark, sf_dir).collect()}
+    assert all(got[d] <= w for d, w in want.items())
+    pairs = sum(len(w) for w in want.values())
+    assert pairs == 0 or sum(len(got[d]) for d in want) >= 0.98 * pairs
+
+
+@pytest.mark.parametrize(("n", "k", "least"), [(11, 1, 1.0), (11, 2, 0.97), (12, 1, 1.0), (12, 2, 1.0)])
+def test_recall_of_short_overlaps_with_a_long_item(n, k, least):
+    """Overlaps of 11 and 12 tokens with an item of 40: which substitutions the masks still hit."""
+    from itertools import combinations
+
+    item = [f"w{i}" for i in range(40)]
+    found_, tried = 0, 0
+    for gone in combinations(range(1, n - 1), k):
+        passage = ["other" if i in gone else item[14 + i] for i in range(n)]
+        tried += 1
+        found_ += bool(found(" ".join(item), " ".join(["a", "b", *passage, "c"])))
+    assert found_ >= least * tried

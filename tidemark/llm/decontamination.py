@@ -17,6 +17,8 @@ one block are broadcast for one pass over the documents, which do not move.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -135,29 +137,34 @@ def longest_segment(same: np.ndarray) -> tuple[int, int]:
     return int(start[best]), int(at[best]) + 1
 
 
-def blocks_of(benchmark: DataFrame, text: str, item_id: str) -> list[Block]:
-    """The benchmark in blocks of bounded size; null texts and ids are left out.
+def blocks_of(benchmark: DataFrame, text: str, item_id: str) -> Iterator[Block]:
+    """The benchmark in blocks of bounded size, one at a time; null texts and ids are left out.
 
-    Only tokens' hashes are kept. Repeated items are searched once.
+    Executors tokenise; the driver gets hashes only, of one partition at a time. Items of
+    equal tokens and id are searched once.
     """
-    rows = benchmark.where(F.col(item_id).isNotNull() & F.col(text).isNotNull()).select(F.col(item_id).cast("long").alias("id"), F.col(text).alias("text")).distinct().orderBy("id", "text")
-    blocks, ids, parts, size = [], [], [], 0
+    rows = benchmark.where(F.col(item_id).isNotNull() & F.col(text).isNotNull()).select(F.col(item_id).cast("long").alias("id"), F.col(text).alias("text"))
+
+    def run(part: pa.RecordBatch) -> dict[str, pa.Array]:
+        hashes, bounds = tokens(part.column(part.num_columns - 1))
+        return {"tokens": pa.array([hashes[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())}
+
+    listed = with_text_columns(rows, "text", run, [("tokens", T.BinaryType())], drop_text=True).distinct().orderBy("id", "tokens")
+    ids, parts, size = [], [], 0
 
-    def close() -> None:
-        nonlocal ids, parts, size
-        if ids:
-            blocks.append(Block(np.array(ids), np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])))
-        ids, parts, size = [], [], 0
+    def block() -> Block:
+        return Block(np.array(ids), np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])]))
 
-    for row in rows.toLocalIterator():
-        hashes, _ = tokens(pa.array([row.text], pa.string()))
+    for row in listed.toLocalIterator():
+        hashes = np.frombuffer(row.tokens, np.uint64)
         if size and size + len(hashes) > BLOCK_TOKENS:
-            close()
+            yield block()
+            ids, parts, size = [], [], 0
         ids.append(row.id)
         parts.append(hashes)
         size += len(hashes)
-    close()
-    return blocks
+    if ids:
+        yield block()
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", keep: list[str] | None = None, drop_text: bool = False) -> DataFrame:
