@@ -155,3 +155,51 @@ def test_scratch_needs_a_shared_folder_on_a_cluster(spark):
     assert scratch.table(spark.range(3), "t").count() == 3
     scratch.drop("t")
     assert spark.conf.get("spark.checkpoint.dir", None) == before
+
+
+def test_layout_equals_single_pairs(monkeypatch):
+    """The vectorised steps against forces summed pair by pair and edge by edge."""
+    import numpy as np
+
+    p = graph.LAYOUT
+    ids, edges = [f"n{k}" for k in range(9)], [(0, 1), (1, 2), (2, 0), (3, 4), (5, 8), (5, 0)]
+    s, t = (np.array([e[k] for e in edges]) for k in (0, 1))
+    whole = graph.force_layout(ids, s, t, "seed")
+    monkeypatch.setattr(graph, "LAYOUT_BLOCK", 4)
+    assert np.allclose(graph.force_layout(ids, s, t, "seed"), whole)
+    monkeypatch.setattr(graph, "LAYOUT", p | {"iterations": 0})
+    at = [list(x) for x in graph.force_layout(ids, s, t, "seed")]
+    speed = [[0.0, 0.0] for _ in ids]
+    for step in range(p["iterations"]):
+        for a in range(len(ids)):
+            for b in range(len(ids)):
+                if a != b:
+                    x, y = at[a][0] - at[b][0], at[a][1] - at[b][1]
+                    if x * x + y * y < 0.01:
+                        low, high, sign = min(a, b), max(a, b), 1 if a < b else -1
+                        x, y = sign * ((low - high) * 0.01 + 0.001), sign * ((low + high) * 0.01 + 0.001)
+                    square = x * x + y * y
+                    speed[a][0] += x * p["repulsion"] / square**1.5
+                    speed[a][1] += y * p["repulsion"] / square**1.5
+        for a, b in edges:
+            x, y = at[b][0] - at[a][0], at[b][1] - at[a][1]
+            distance = math.hypot(x, y) or 0.01
+            pull = (distance - p["length"]) * p["stiffness"] / distance
+            for k, d in ((0, x), (1, y)):
+                speed[a][k] += d * pull
+                speed[b][k] -= d * pull
+        for a in range(len(ids)):
+            speed[a] = [(v - c * p["centre"]) * p["damping"] for v, c in zip(speed[a], at[a], strict=True)]
+            move = [v * (1 - step / p["iterations"]) for v in speed[a]]
+            length = math.hypot(*move)
+            scale = p["largest_step"] / length if length > p["largest_step"] else 1.0
+            at[a] = [c + m * scale for c, m in zip(at[a], move, strict=True)]
+    assert np.allclose(at, whole, atol=1e-6)
+
+
+def test_risk_reasons(spark):
+    rows = [("json", "x", False, True), ("go", "x", True, True), ("go", "a counter", False, True), ("go", "x", False, None), ("go", "x", False, True)]
+    df = spark.createDataFrame(rows, "language string, tool string, detected boolean, validated boolean")
+    cols = [F.col(c) for c in df.columns]
+    assert [r[0] for r in df.select(classify.risk_reason(*cols)).collect()] == list(classify.RISK_REASONS)
+    assert df.select(classify.risk_reason(*cols, {"scope": "compare scopes"})).collect()[4][0] == "compare scopes"

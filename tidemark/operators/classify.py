@@ -52,14 +52,16 @@ def truth_risk(language: Column, tool: Column, detector_only: Column, validated:
     )
 
 
-def risk_reason(language: Column, tool: Column, detector_only: Column, validated: Column) -> Column:
-    return cases(
-        (language.isin(*STRUCTURED), "A structured format, not ground truth of a code parser."),
-        (detector_only, "Detected by extension and counted by a proxy; weaker than a parser."),
-        (F.contains(F.coalesce(tool, F.lit("")), F.lit("counter")), "Counted by a script rather than by a compiler or language server."),
-        (~F.coalesce(validated, F.lit(False)), "Fewer than the least number of validated repositories."),
-        otherwise="The count covers more than the baseline's denominator; compare their scopes.",
-    )
+#: Codes of a weak truth's reason; a report may give sentences for them.
+RISK_REASONS = ("structured", "detected", "counted", "unvalidated", "scope")
+
+
+def risk_reason(language: Column, tool: Column, detector_only: Column, validated: Column, sentences: dict[str, str] | None = None) -> Column:
+    """Why a truth is weak, as one of RISK_REASONS or the sentence given for it."""
+    structured, detected, counted, unvalidated, scope = ((sentences or {}).get(code, code) for code in RISK_REASONS)
+    script = F.contains(F.coalesce(tool, F.lit("")), F.lit("counter"))
+    pending = ~F.coalesce(validated, F.lit(False))
+    return cases((language.isin(*STRUCTURED), structured), (detector_only, detected), (script, counted), (pending, unvalidated), otherwise=scope)
 
 
 def tool_class(language: Column, tool: Column, detector_only: Column) -> Column:

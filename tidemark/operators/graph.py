@@ -84,6 +84,10 @@ LAYOUT = {"iterations": 320, "repulsion": 5200.0, "length": 56.0, "stiffness": 0
 MAX_LAYOUT_NODES = 5000
 
 
+#: Rows of the table of distances that are held at once.
+LAYOUT_BLOCK = 512
+
+
 def force_layout(ids: list[str], s: np.ndarray, t: np.ndarray, seed: str) -> np.ndarray:
     """Positions after a fixed number of cooled spring steps; angles by node id, radii by seed and order."""
     n, p = len(ids), LAYOUT
@@ -94,22 +98,25 @@ def force_layout(ids: list[str], s: np.ndarray, t: np.ndarray, seed: str) -> np.
         at[i] = math.cos(angle) * radius, math.sin(angle) * radius
     speed, i = np.zeros((n, 2)), np.arange(n)
     for step in range(p["iterations"]):
-        away = at[:, None, :] - at[None, :, :]
-        square = (away**2).sum(2)
-        close = (square < 0.01) & (i[:, None] != i[None, :])
-        if close.any():
-            a, b = np.nonzero(close)
-            low, high, sign = np.minimum(a, b), np.maximum(a, b), np.where(a < b, 1, -1)
-            away[a, b] = np.stack([sign * ((low - high) * 0.01 + 0.001), sign * ((low + high) * 0.01 + 0.001)], 1)
-            square[a, b] = (away[a, b] ** 2).sum(1)
-        np.fill_diagonal(square, 1.0)
-        speed += (away * (p["repulsion"] / (square * np.sqrt(square)))[:, :, None]).sum(1)
-        for a, b in zip(s, t, strict=True):
-            d = at[b] - at[a]
-            distance = math.hypot(*d) or 0.01
-            pull = d / distance * (distance - p["length"]) * p["stiffness"]
-            speed[a] += pull
-            speed[b] -= pull
+        for low_row in range(0, n, LAYOUT_BLOCK):
+            block = slice(low_row, low_row + LAYOUT_BLOCK)
+            away = at[block, None, :] - at[None, :, :]
+            square = (away**2).sum(2)
+            close = (square < 0.01) & (i[block, None] != i[None, :])
+            if close.any():
+                a, b = np.nonzero(close)
+                own = a + low_row
+                low, high, sign = np.minimum(own, b), np.maximum(own, b), np.where(own < b, 1, -1)
+                away[a, b] = np.stack([sign * ((low - high) * 0.01 + 0.001), sign * ((low + high) * 0.01 + 0.001)], 1)
+                square[a, b] = (away[a, b] ** 2).sum(1)
+            square[i[block] - low_row, i[block]] = 1.0
+            speed[block] += (away * (p["repulsion"] / (square * np.sqrt(square)))[:, :, None]).sum(1)
+        d = at[t] - at[s]
+        distance = np.hypot(d[:, 0], d[:, 1])
+        distance[distance == 0] = 0.01
+        pull = d * ((distance - p["length"]) * p["stiffness"] / distance)[:, None]
+        np.add.at(speed, s, pull)
+        np.subtract.at(speed, t, pull)
         speed = (speed - at * p["centre"]) * p["damping"]
         move = speed * (1 - step / p["iterations"])
         length = np.hypot(move[:, 0], move[:, 1])

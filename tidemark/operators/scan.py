@@ -30,6 +30,8 @@ RAZOR = {
     "component": r"<([A-Z][A-Za-z0-9_.]*)\b",
 }
 RAZOR_METHOD = r"(?m)^\s*(?:public|private|protected|internal|static|async|override|virtual|sealed|partial|new|\s)+[\w<>\[\],?]+\s+(\w+)\s*\([^;{}]*\)\s*(?:=>|\{)"
+#: Words before a parenthesis that are no method, and what marks files without methods.
+RAZOR_PARAMETER = "[Parameter]"
 RAZOR_NO_METHOD = ["if", "for", "while", "switch", "catch", "using", "foreach", "lock"]
 SOLUTION_PROJECT = r"""(?m)^Project\("[^"]+"\)\s*=\s*"[^"]+",\s*"[^"]+\""""
 
@@ -60,7 +62,7 @@ def razor(files: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     views = files.select("path", F.lit("view").alias("kind"), F.lit(1).cast("long").alias("n"))
     names = F.filter(F.regexp_extract_all(text, F.lit(RAZOR_METHOD), F.lit(1)), lambda x: ~x.isin(RAZOR_NO_METHOD))
-    methods = files.select("path", F.lit("method").alias("kind"), F.when(F.contains(text, F.lit("[Parameter]")), F.lit(0)).otherwise(F.size(names)).cast("long").alias("n"))
+    methods = files.select("path", F.lit("method").alias("kind"), F.when(F.contains(text, F.lit(RAZOR_PARAMETER)), F.lit(0)).otherwise(F.size(names)).cast("long").alias("n"))
     return kind_counts(files, RAZOR).unionByName(views).unionByName(methods)
 
 
