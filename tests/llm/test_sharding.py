@@ -46,3 +46,28 @@ def test_repeated_rows_nulls_and_empty(spark):
     out = S.uniform_shards(df, 5).groupBy("shard").agg(F.count("*").alias("n"), F.countDistinct("slot").alias("d")).collect()
     assert sorted(r.n for r in out) == [10, 10, 11, 11, 11] and all(r.n == r.d for r in out)
     assert S.uniform_shards(df.limit(0), 5).count() == 0
+
+
+def test_large_draws_follow_the_law():
+    """Against the exact probabilities, and for a population beyond numpy's bound."""
+    from math import comb
+
+    draws = np.bincount([S._large_hypergeometric(np.random.default_rng(s), 12, 7, 9) for s in range(4000)], minlength=10)
+    exact = np.array([comb(12, k) * comb(7, 9 - k) / comb(19, 9) for k in range(10)]) * 4000
+    assert ((draws - exact)[exact > 5] ** 2 / exact[exact > 5]).sum() < 25
+    good, bad, n = 3 * 10**11, 10**11, 2 * 10**10
+    many = np.array([S._large_hypergeometric(np.random.default_rng(s), good, bad, n) for s in range(200)], float)
+    deviation = (n * 0.75 * 0.25 * (1 - n / (good + bad))) ** 0.5
+    assert abs(many.mean() - 0.75 * n) < 4 * deviation / 200**0.5 and 0.8 < many.std() / deviation < 1.2
+
+
+def test_exchange_equals_the_matrix(spark, tmp_path):
+    """Rows go from each source to each shard exactly as often as the drawn matrix says."""
+    spark.range(0, 3000, 1, 5).withColumn("p", F.spark_partition_id()).where("id % 7 <> p").write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t").select("id", F.spark_partition_id().alias("source"))
+    rows = S.uniform_shards(df, 6, seed=3).collect()
+    sources = sorted({r.source for r in rows})
+    counts = [sum(r.source == s for r in rows) for s in sources]
+    want = S.communication_matrix(counts, S.shard_sizes(len(rows), 6), 3)
+    got = [[sum(r.source == s and r.shard == k for r in rows) for k in range(6)] for s in sources]
+    assert got == want.tolist()

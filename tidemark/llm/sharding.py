@@ -32,7 +32,7 @@ def shard_sizes(rows: int, shards: int) -> np.ndarray:
 
 
 def communication_matrix(sources: list[int], sizes: np.ndarray, seed: int) -> np.ndarray:
-    """Counts by (source, shard), drawn exactly: rows sum to sources, columns to sizes."""
+    """Counts by (source, shard): rows sum to sources, columns to sizes; the law is exact up to rounding."""
     rng = np.random.Generator(np.random.PCG64(seed))
     left, out = sizes.astype(np.int64).copy(), np.zeros((len(sources), len(sizes)), np.int64)
     for i, n in enumerate(sources):
@@ -54,31 +54,27 @@ def _draw(rng: np.random.Generator, left: np.ndarray, n: int) -> np.ndarray:
 
 
 def _large_hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
-    """One exact draw for populations of any size, by inversion from the mode outwards."""
-    from math import exp, lgamma
-
-    def log_choose(a: int, b: int) -> float:
-        return lgamma(a + 1) - lgamma(b + 1) - lgamma(a - b + 1)
+    """One draw for populations of any size, by inversion of the weights around the mode.
 
+    Weights are relative to the mode's, by products of their ratios, so no large logarithms
+    cancel; those below 1e-20 of it are left out, which is beyond a draw's resolution.
+    """
     low, high = max(0, n - bad), min(n, good)
     mode = min(high, max(low, (n + 1) * (good + 1) // (good + bad + 2)))
-    p = exp(log_choose(good, mode) + log_choose(bad, n - mode) - log_choose(good + bad, n))
-    u, down, up, p_down, p_up = rng.random(), mode, mode, p, p
-    u -= p
-    while u > 0 and (down > low or up < high):
-        if up < high:
-            p_up *= (good - up) * (n - up) / ((up + 1) * (bad - n + up + 1))
-            up += 1
-            u -= p_up
-            if u <= 0:
-                return up
-        if down > low:
-            p_down *= down * (bad - n + down) / ((good - down + 1) * (n - down + 1))
-            down -= 1
-            u -= p_down
-            if u <= 0:
-                return down
-    return mode
+
+    def side(end: int, step: int) -> np.ndarray:
+        parts, last, x = [], 1.0, mode
+        while x != end and last > 1e-20:
+            at = np.arange(x, end if abs(end - x) < 4096 else x + 4096 * step, step).astype(float)
+            ratio = (good - at) * (n - at) / ((at + 1) * (bad - n + at + 1)) if step > 0 else at * (bad - n + at) / ((good - at + 1) * (n - at + 1))
+            parts.append(last * np.cumprod(ratio))
+            last, x = float(parts[-1][-1]), x + len(at) * step
+        return np.concatenate(parts) if parts else np.zeros(0)
+
+    up, down = side(high, 1), side(low, -1)
+    total = np.cumsum(np.concatenate([[1.0], up, down]))
+    k = min(int(np.searchsorted(total, rng.random() * total[-1], "right")), len(total) - 1)
+    return mode + k if k <= len(up) else mode - (k - len(up))
 
 
 def uniform_shards(df: DataFrame, shards: int = 40, seed: int = 7) -> DataFrame:
