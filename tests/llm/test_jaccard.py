@@ -69,6 +69,29 @@ def test_classes_equal_brute_force(spark, seed, frequent):
     assert sorted(map(tuple, J.jaccard_components(df, frequent=frequent).collect())) == brute(rows)
 
 
+@pytest.mark.parametrize("listed", [1, 20])
+def test_classes_with_frequent_grams_by_exchange(spark, monkeypatch, listed):
+    monkeypatch.setattr(J, "MAX_FREQUENT", listed)
+    rows = [*corpus(5), (None, "w1 w2 w3 w4 w5 w6 w7")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [tuple(r) for r in J.jaccard_components(df, frequent=4).collect()]
+    assert sorted(r for r in got if r[0] is not None) == brute([r for r in rows if r[0] is not None])
+    assert [r for r in got if r[0] is None] == [(None, 3, None)]
+
+
+def test_a_shared_passage_makes_few_pairs(spark, monkeypatch):
+    """Texts that share 30 words but do not link: pairs held against each other do not grow with their square."""
+    monkeypatch.setattr(J, "MAX_FREQUENT", 1)
+    held = []
+    monkeypatch.setattr(J, "plausible", lambda pairs, *rest, plausible=J.plausible: (held.append(pairs.count()), plausible(pairs, *rest))[1])
+    for m in (100, 200):
+        rng = random.Random(m)
+        rows = [(i, " ".join([f"p{j}" for j in range(30)] + [f"x{rng.randrange(10**9)}" for _ in range(120)])) for i in range(m)]
+        got = J.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert all(r.component_id == r.doc_id for r in got)
+    assert sum(held) <= 200
+
+
 def test_parity_bits_bound_the_difference():
     rng = np.random.default_rng(5)
     for _ in range(200):

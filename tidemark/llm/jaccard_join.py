@@ -5,9 +5,11 @@ when 100 * |intersection| >= threshold * |union|; the result is the class of eve
 document under links.
 
 Order and classes. All n-grams are counted over all documents (hashes travel as
-sorted, delta-coded blocks, about two bytes each). N-grams found in few documents are
-rare (class 1), others frequent (classes 2 and 3). The global order is by class, then
-by hash, so rare n-grams come first.
+sorted, delta-coded blocks, about three bytes each). N-grams found in few documents are
+rare (class 1), others frequent (classes 2 and 3). The bounds do not grow with the input:
+the most frequent n-grams, a list of bounded length, are broadcast, and of the others
+every document is told by exchange which of its own are frequent. The global order is
+by class, then by hash, so rare n-grams come first.
 
 Prefixes and signatures. A document of n tokens may miss at most
 s = n - ceil(threshold * n / 100) of them in a partner. Rare tokens are indexed singly.
@@ -50,9 +52,12 @@ from tidemark.llm.frames import release_memory, require, tidy
 from tidemark.llm.text import buffers, lower, mix, shingle_sets, slices
 from tidemark.session import Scratch, ship_package
 
-#: An n-gram is frequent from this many documents, or the share that bounds the list of them.
+#: An n-gram is frequent from this many documents, whatever the size of the input.
 FREQUENT = 64
-MAX_FREQUENT = 1 << 20
+#: At most so many of them, the most frequent, are broadcast; the others come by exchange.
+MAX_FREQUENT = 1 << 16
+#: Leading bits of a hash by which n-grams are counted.
+COUNTED_BITS = 40
 #: Class 3 starts at this multiple.
 VERY_FREQUENT = 16
 #: Tokens that a group of class k has, about, in the prefix of a document.
@@ -66,6 +71,7 @@ MAX_RANGES = 1 << 18
 _MIXER = np.random.Generator(np.random.PCG64(99)).integers(0, 1 << 63, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 COUNT_SCHEMA = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("block", T.BinaryType())])
+OWNER_SCHEMA = T.StructType([*COUNT_SCHEMA.fields, T.StructField("owners", T.BinaryType())])
 SIGNATURE_SCHEMA = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("part", T.IntegerType()), T.StructField("sig", T.LongType()), T.StructField("doc", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("most", T.IntegerType()), T.StructField("digest", T.BinaryType()), T.StructField("bits", T.BinaryType()), T.StructField("block", T.BinaryType())])
 SET, SINGLE, COMBINATION = 0, 1, 2
 ANY_SIZE = 2**31 - 1
@@ -177,14 +183,24 @@ def plausible(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return both.mapInArrow(tidy(run), "a long, b long").distinct()
 
 
-def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
-    """(ids, tokens, bounds) of parts of the batches."""
+def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """(rows, tokens, bounds) of parts of the batches, whose first columns are __id and __text."""
     for batch in batches:
         for part in slices(batch, "__text"):
             if part.num_rows:
                 data, offsets = buffers(part.column(1))
                 tokens, bounds, _ = shingle_sets(lower(data), offsets, k)
-                yield part.column(0), tokens, bounds
+                yield part, tokens, bounds
+
+
+def _counted(tokens: np.ndarray) -> np.ndarray:
+    """The leading bits of hashes by which n-grams are counted."""
+    return tokens >> np.uint64(64 - COUNTED_BITS)
+
+
+def _cuts(counted: np.ndarray, parts: int) -> np.ndarray:
+    """Bounds of the hash ranges in sorted leading bits."""
+    return np.searchsorted(counted * np.uint64(parts) >> np.uint64(COUNTED_BITS), np.arange(parts + 1))
 
 
 def _ranges(values: np.ndarray, parts: int) -> np.ndarray:
@@ -192,12 +208,13 @@ def _ranges(values: np.ndarray, parts: int) -> np.ndarray:
     return np.searchsorted((values >> np.uint64(32)).astype(np.uint64) * np.uint64(parts) >> np.uint64(32), np.arange(parts + 1))
 
 
-def frequent_tokens(source: DataFrame, k: int, parts: int, scratch: Scratch, frequent: int = FREQUENT) -> dict[int, np.ndarray]:
-    """The frequent classes: sorted upper halves of the hashes, exact counts over all documents.
+def frequent_tokens(source: DataFrame, k: int, parts: int, scratch: Scratch, frequent: int = FREQUENT) -> tuple[dict[int, np.ndarray], DataFrame | None]:
+    """The frequent classes: the list to broadcast, and the table (token, n) of all others, if any.
 
-    At most MAX_FREQUENT come to the driver: those in a share of 1 / MAX_FREQUENT of all
+    Counts are exact over all documents, by the leading bits of the hashes. At most
+    MAX_FREQUENT n-grams come to the driver: those in a share of 1 / MAX_FREQUENT of all
     tokens or more cannot be more. The classes only order tokens, so that two n-grams
-    with equal upper halves are counted together does no harm.
+    with equal leading bits are counted together does no harm.
     """
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,12 +222,12 @@ def frequent_tokens(source: DataFrame, k: int, parts: int, scratch: Scratch, fre
 
         def flush() -> pa.RecordBatch:
             values = np.sort(np.concatenate(held))
-            bounds = np.searchsorted(values.astype(np.uint64) * np.uint64(parts) >> np.uint64(32), np.arange(parts + 1))
-            rows = [(p, pack(np.diff(values[a:b], prepend=np.uint32(0)))) for p, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if b > a]
+            bounds = _cuts(values, parts)
+            rows = [(p, pack(np.diff(values[a:b], prepend=np.uint64(0)))) for p, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if b > a]
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["part", "block"])
 
         for _, tokens, _ in _sets(batches, k):
-            held.append((tokens >> np.uint64(32)).astype(np.uint32))
+            held.append(_counted(tokens))
             size += len(tokens)
             if size >= FLUSH_TOKENS:
                 yield flush()
@@ -219,18 +236,71 @@ def frequent_tokens(source: DataFrame, k: int, parts: int, scratch: Scratch, fre
             yield flush()
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        values, n = np.unique(np.concatenate([np.cumsum(unpack(b), dtype=np.uint32) for b in pdf["block"]]), return_counts=True)
+        values, n = np.unique(np.concatenate([np.cumsum(unpack(b), dtype=np.uint64) for b in pdf["block"]]), return_counts=True)
         often = n >= frequent
         release_memory()
         # The first row holds the number of all tokens.
-        return pd.DataFrame({"token": np.concatenate([[-1], values[often].astype(np.int64)]), "n": np.concatenate([[n.sum()], n[often]]).astype(np.int64)})
+        return pd.DataFrame({"part": pdf["part"].iloc[0], "token": np.concatenate([[-1], values[often].astype(np.int64)]), "n": np.concatenate([[n.sum()], n[often]]).astype(np.int64)})
 
-    counted = scratch.table(source.mapInArrow(tidy(blocks), COUNT_SCHEMA).groupBy("part").applyInPandas(count, "token long, n long"), "frequent")
+    counted = scratch.table(source.mapInArrow(tidy(blocks), COUNT_SCHEMA).groupBy("part").applyInPandas(count, "part int, token long, n long"), "frequent")
     total = counted.where("token < 0").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     least = max(frequent, -(-total // MAX_FREQUENT))
-    rows = counted.where((F.col("token") >= 0) & (F.col("n") >= least)).toPandas()
-    very = rows["n"] >= least * VERY_FREQUENT
-    return {2: np.sort(rows["token"][~very].to_numpy().astype(np.uint32)), 3: np.sort(rows["token"][very].to_numpy().astype(np.uint32))}
+    rows = counted.where((F.col("token") >= 0) & (F.col("n") >= least)).select("token", "n").toPandas()
+    very = rows["n"] >= frequent * VERY_FREQUENT
+    classes = {2: np.sort(rows["token"][~very].to_numpy().astype(np.uint64)), 3: np.sort(rows["token"][very].to_numpy().astype(np.uint64))}
+    return classes, counted.where((F.col("token") >= 0) & (F.col("n") < least)) if least > frequent else None
+
+
+def marks(source: DataFrame, k: int, parts: int, classes: dict[int, np.ndarray], rest: DataFrame, frequent: int) -> DataFrame:
+    """(id, marks): of each document its frequent n-grams that are not in the broadcast classes.
+
+    A mark is twice the leading bits, and one more in class 3. Documents meet the counted
+    n-grams by hash range; a range holds about half an input partition's n-grams.
+    """
+    shared = source.sparkSession.sparkContext.broadcast(classes)
+    very = frequent * VERY_FREQUENT
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.sort(np.concatenate([shared.value[2], shared.value[3]]))
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            values, owners = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+            order = np.argsort(values)
+            values, owners = values[order], owners[order]
+            bounds = _cuts(values, parts)
+            rows = [(p, pack(np.diff(values[a:b], prepend=np.uint64(0))), pack(owners[a:b].view(np.uint64))) for p, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if b > a]
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *[pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2)]], names=OWNER_SCHEMA.names)
+
+        for part, tokens, bounds in _sets(batches, k):
+            ids = part.column(0)
+            values, owner = _counted(tokens), np.repeat(np.arange(len(ids)), np.diff(bounds))
+            use = ids.is_valid().to_numpy(zero_copy_only=False)[owner] & ~_in(known, values)
+            held.append((values[use], ids.fill_null(0).to_numpy(zero_copy_only=False)[owner[use]]))
+            size += len(held[-1][0])
+            if size >= FLUSH_TOKENS // 2:
+                yield flush()
+                held, size = [], 0
+        if size:
+            yield flush()
+
+    def find(owned: pd.DataFrame, counted: pd.DataFrame) -> pd.DataFrame:
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        if len(counted) and len(owned):
+            order = np.argsort(counted["token"].to_numpy())
+            token, n = counted["token"].to_numpy()[order].astype(np.uint64), counted["n"].to_numpy()[order]
+            for block, owners in zip(owned["block"], owned["owners"], strict=True):
+                values = np.cumsum(unpack(block), dtype=np.uint64)
+                hit = _in(token, values)
+                mark = values[hit].astype(np.int64) * 2 + (n[np.searchsorted(token, values[hit])] >= very)
+                out.append((unpack(owners).view(np.int64)[hit], mark))
+        release_memory()
+        return pd.DataFrame({"__id": np.concatenate([o[0] for o in out]), "mark": np.concatenate([o[1] for o in out])})
+
+    owned = source.select("__id", "__text").mapInArrow(tidy(blocks), OWNER_SCHEMA)
+    found = owned.groupBy("part").cogroup(rest.groupBy("part")).applyInPandas(find, "__id long, mark long")
+    return found.groupBy("__id").agg(F.collect_list("mark").alias("__marks"))
 
 
 def _in(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -240,7 +310,10 @@ def _in(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def signatures(source: DataFrame, k: int, threshold: int, classes: dict[int, np.ndarray], parts: int) -> DataFrame:
-    """Rows of three kinds: sets (doc, n, digest), single signatures in blocks, combinations (sig, doc, n)."""
+    """Rows of three kinds: sets (doc, n, digest), single signatures in blocks, combinations (sig, doc, n).
+
+    A third column of source, if any, holds the marks of each document.
+    """
     shared = source.sparkSession.sparkContext.broadcast(classes)
     starts = level_starts(threshold)
 
@@ -265,12 +338,17 @@ def signatures(source: DataFrame, k: int, threshold: int, classes: dict[int, np.
             made = [(p, b"".join(len(x).to_bytes(8, "little") + x for x in (pack(np.diff(sig[a:b], prepend=np.uint64(0))), pack(doc[a:b].view(np.uint64)), pack(n[a:b])))) for p, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if b > a]
             return rows(SINGLE, len(made), part=[m[0] for m in made], block=[m[1] for m in made])
 
-        for raw_ids, tokens, bounds in _sets(batches, k):
+        for part, tokens, bounds in _sets(batches, k):
+            raw_ids = part.column(0)
             digests = [hashlib.blake2b(tokens[a:b].tobytes(), digest_size=16).digest() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
             yield rows(SET, len(raw_ids), doc=raw_ids, n=np.diff(bounds).astype(np.int32), digest=digests, bits=parity_bits(tokens, bounds))
             valid, ids = raw_ids.is_valid().to_numpy(zero_copy_only=False), raw_ids.fill_null(0).to_numpy(zero_copy_only=False)
-            half = (tokens >> np.uint64(32)).astype(np.uint32)
-            kind = 1 + _in(frequent[2], half).astype(np.int8) + 2 * _in(frequent[3], half).astype(np.int8)
+            # An n-gram has one class in all documents, so marks hold for the whole part.
+            marked = np.unique(part.column(2).flatten().to_numpy()) if part.num_columns > 2 else np.zeros(0, np.int64)
+            upper = _counted(tokens)
+            kind = np.ones(len(tokens), np.int8)
+            for c in (2, 3):
+                kind[_in(frequent[c], upper) | _in((marked[marked % 2 == c - 2] >> 1).astype(np.uint64), upper)] = c
             combined: list[np.ndarray] = []
             owners: list[int] = []
             reach: list[int] = []
@@ -375,9 +453,15 @@ def jaccard_components(documents: DataFrame, text: str = "text", id_col: str = "
     source = documents.select(documents[id_col].cast("long").alias("__id"), documents[text].alias("__text"))
     parts = min(MAX_RANGES, max(16, 2 * source.rdd.getNumPartitions()))
 
-    classes = frequent_tokens(source, k, parts, scratch, frequent)
+    classes, rest = frequent_tokens(source, k, parts, scratch, frequent)
     scratch.release()
-    rows = scratch.table(signatures(source, k, threshold, classes, parts), "signatures")
+    told = source
+    if rest is not None:
+        marked = scratch.table(marks(source, k, parts, classes, rest, frequent), "marks")
+        scratch.release()
+        told = source.join(marked, "__id", "left").select("__id", "__text", "__marks")
+    rows = scratch.table(signatures(told, k, threshold, classes, parts), "signatures")
+    scratch.drop("frequent", "marks")
     sets = scratch.table(rows.where(F.col("kind") == SET).select("doc", "n", "digest", "bits"), "sets")
     linkable = sets.where("n > 0 AND doc IS NOT NULL")
     least = linkable.groupBy("digest").agg(F.min("doc").alias("rep"), F.count("*").alias("rows")).where("rows > 1").select("digest", "rep")
