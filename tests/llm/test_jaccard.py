@@ -72,6 +72,7 @@ def test_classes_equal_brute_force(spark, seed, frequent):
 @pytest.mark.parametrize("listed", [1, 20])
 def test_classes_with_frequent_grams_by_exchange(spark, monkeypatch, listed):
     monkeypatch.setattr(J, "MAX_FREQUENT", listed)
+    monkeypatch.setattr(J, "LARGE_GROUP", 3)
     rows = [*corpus(5), (None, "w1 w2 w3 w4 w5 w6 w7")]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = [tuple(r) for r in J.jaccard_components(df, frequent=4).collect()]

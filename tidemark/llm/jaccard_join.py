@@ -56,6 +56,8 @@ from tidemark.session import Scratch, ship_package
 FREQUENT = 64
 #: At most so many of them, the most frequent, are broadcast; the others come by exchange.
 MAX_FREQUENT = 1 << 16
+#: Groups of equal sets from this size, or that share, are looked up in a broadcast list.
+LARGE_GROUP = 1000
 #: Leading bits of a hash by which n-grams are counted.
 COUNTED_BITS = 40
 #: Class 3 starts at this multiple.
@@ -435,6 +437,20 @@ def _fitting(threshold: int) -> object:
     return (100 * F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b")) & (F.col("n_a") <= F.col("most_b")) & (F.col("n_b") <= F.col("most_a"))
 
 
+def representatives(linkable: DataFrame, total: int, scratch: Scratch) -> DataFrame:
+    """(doc, rep) of every row: the least document with an equal set.
+
+    Groups with a share of 1 / MAX_FREQUENT of all rows, so at most MAX_FREQUENT groups,
+    find theirs in a broadcast list, where their rows lie; only small groups meet in tasks.
+    """
+    groups = linkable.groupBy("digest").agg(F.min("doc").alias("rep"), F.count("*").alias("rows")).where("rows > 1")
+    least = scratch.table(groups, "equal")
+    large = F.col("rows") >= max(LARGE_GROUP, -(-total // MAX_FREQUENT))
+    looked_up = linkable.join(F.broadcast(least.where(large).select("digest", "rep")), "digest", "left")
+    others = looked_up.where("rep IS NULL").select("digest", "doc").join(least.where(~large).select("digest", "rep"), "digest", "left")
+    return looked_up.where("rep IS NOT NULL").select("doc", "rep").unionByName(others.select("doc", F.coalesce("rep", "doc").alias("rep")))
+
+
 def jaccard_components(documents: DataFrame, text: str = "text", id_col: str = "doc_id", k: int = 5, threshold: int = 75, frequent: int = FREQUENT) -> DataFrame:
     """One row per row of documents: id_col, n_shingles and component_id.
 
@@ -464,8 +480,7 @@ def jaccard_components(documents: DataFrame, text: str = "text", id_col: str = "
     scratch.drop("frequent", "marks")
     sets = scratch.table(rows.where(F.col("kind") == SET).select("doc", "n", "digest", "bits"), "sets")
     linkable = sets.where("n > 0 AND doc IS NOT NULL")
-    least = linkable.groupBy("digest").agg(F.min("doc").alias("rep"), F.count("*").alias("rows")).where("rows > 1").select("digest", "rep")
-    equal = linkable.join(least, "digest", "left").select("doc", F.coalesce("rep", "doc").alias("rep"))
+    equal = representatives(linkable, sets.count(), scratch)
     copies = equal.where("doc <> rep").select(F.col("rep").alias("u"), F.col("doc").alias("v"))
 
     singles = rows.where(F.col("kind") == SINGLE).select("part", "block").groupBy("part").applyInPandas(_shared_singles, "sig long, doc long, n int")
