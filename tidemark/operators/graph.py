@@ -24,9 +24,14 @@ def neighbours(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("s").alias("node"), F.col("t").alias("neighbour")).union(edges.select(F.col("t").alias("node"), F.col("s").alias("neighbour"))).where("node <> neighbour").distinct()
 
 
+def linked_degrees(edges: DataFrame) -> DataFrame:
+    """The ends of edges that have a neighbour, with their number of distinct neighbours."""
+    return neighbours(edges).groupBy("node").agg(F.count("*").alias("degree"))
+
+
 def degrees(edges: DataFrame, nodes: DataFrame, index: str = "node") -> DataFrame:
     """Every node with its number of distinct neighbours and that over the largest (at least 1)."""
-    counted = neighbours(valid_edges(edges, nodes, index)).groupBy("node").agg(F.count("*").alias("degree"))
+    counted = linked_degrees(valid_edges(edges, nodes, index))
     all_ = nodes.select(F.col(index).alias("node")).distinct().join(counted, "node", "left").select("node", F.coalesce("degree", F.lit(0)).cast("long").alias("degree"))
     largest = counted.agg(F.greatest(F.coalesce(F.max("degree"), F.lit(1)), F.lit(1)).alias("largest"))
     return all_.crossJoin(F.broadcast(largest)).select("node", "degree", (F.col("degree") / F.col("largest")).alias("degree_share"))  # one row of largest
